@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -20,7 +21,9 @@ TRAIN_DOCS, TRAIN_WORDS, LONGEST = 20_000, 50_000, 4
 #: One document in so many is held out, by crc32 of its id.
 FOLDS = 5
 #: What one step of backing off costs, as a factor of the likelihood; words whose scores a worker keeps.
-BACKOFF, KEPT = 0.4, 200_000
+BACKOFF, KEPT = 0.4, 100_000
+#: Rows that are predicted at once.
+ROWS = 256
 #: Characters of a text that are split at once; cuts fall between words.
 PIECE = 1 << 20
 
@@ -41,55 +44,81 @@ def words_of(text: str) -> Counter:
 
 
 class LanguageModel:
-    """Log frequencies by language of words, and of the character n-grams (with word borders) of the words."""
+    """Log frequencies by language of words, and of the character n-grams (with word borders) of the words: a row of a matrix for each."""
 
     def __init__(self, counts: list[tuple[str, str, int]]):
         """counts: (lang, word, n)."""
         self.langs = sorted({lang for lang, _, _ in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        words, grams = defaultdict(lambda: np.zeros(len(at))), [defaultdict(lambda: np.zeros(len(at))) for _ in range(LONGEST + 1)]
+        words, grams = Counter(), [Counter() for _ in range(LONGEST + 1)]
         for lang, word, n in counts:
-            words[word][at[lang]] += n
+            words[word, at[lang]] += n
             framed = f" {word} "
             for k in range(1, LONGEST + 1):
                 for i in range(len(framed) - k + 1):
-                    grams[k][framed[i : i + k]][at[lang]] += n
-        self.words, self.grams = self._logs(words), [self._logs(x) for x in grams]
-        self.known: dict[str, np.ndarray] = {}
-
-    @staticmethod
-    def _logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        total = np.sum(list(table.values()), axis=0) + 0.5 * len(table)
-        return {k: np.log((x + 0.5) / total) for k, x in table.items()}
-
-    def word(self, word: str) -> np.ndarray:
-        """Log score by language: of a known word its log frequency; else of its longest n-grams of which any is known, their mean, for each step at a cost."""
-        if word in self.known:
-            return self.known[word]
-        out = self.words.get(word)
-        if out is None:
-            out, framed = np.zeros(len(self.langs)), f" {word} "
-            for k in range(LONGEST, 0, -1):
-                found = [x for i in range(len(framed) - k + 1) if (x := self.grams[k].get(framed[i : i + k])) is not None]
+                    grams[k][framed[i : i + k], at[lang]] += n
+        self.words, self.word_logs = self._logs(words)
+        self.grams: dict[str, int] = {}
+        logs = []
+        for k in range(1, LONGEST + 1):
+            rows, own = self._logs(grams[k])
+            self.grams |= {g: i + len(self.grams) for g, i in rows.items()}
+            logs.append(own + (LONGEST - k + 1) * math.log(BACKOFF))
+        self.gram_logs = np.concatenate(logs)
+        self.known: dict[str, int] = {}
+        self.logs = np.empty((0, len(self.langs)), np.float32)
+
+    def _logs(self, counts: Counter) -> tuple[dict[str, int], np.ndarray]:
+        rows: dict[str, int] = {}
+        for key, _ in counts:
+            rows.setdefault(key, len(rows))
+        table = np.zeros((len(rows), len(self.langs)))
+        for (key, lang), n in counts.items():
+            table[rows[key], lang] = n
+        return rows, np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(rows))).astype(np.float32)
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """Log scores by language of words: of a known word its log frequency; else of its longest n-grams of which any is known, their mean, for each step at a cost."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        known = [(i, r) for i, w in enumerate(words) if (r := self.words.get(w)) is not None]
+        if known:
+            at, rows = map(list, zip(*known, strict=True))
+            out[at] = self.word_logs[rows]
+        at, sizes, flat, get = [], [], [], self.grams.get
+        for i, w in enumerate(words):
+            if w in self.words:
+                continue
+            framed = f" {w} "
+            for k in range(min(LONGEST, len(framed)), 0, -1):
+                found = [r for j in range(len(framed) - k + 1) if (r := get(framed[j : j + k])) is not None]
                 if found:
-                    out = (LONGEST - k + 1) * math.log(BACKOFF) + np.mean(found, axis=0)
+                    at.append(i)
+                    sizes.append(len(found))
+                    flat += found
                     break
-        if len(self.known) >= KEPT:
-            self.known.clear()
-        self.known[word] = out
+        if at:
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            out[at] = np.add.reduceat(self.gram_logs[flat], starts, axis=0) / np.array(sizes, np.float32)[:, None]
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its probability; ('und', 0.0) for a text without letters or a model that has learned nothing."""
-        found = words_of(text or "")
-        if not found or not self.langs:
-            return "und", 0.0
-        scores = sum(n * self.word(w) for w, n in found.items())
-        scores = np.exp(scores - scores.max())
-        best = int(scores.argmax())
-        return self.langs[best], float(scores[best] / scores.sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language of each text and its probability; ('und', 0.0) for a text without letters or a model that has learned nothing."""
+        if len(self.known) > KEPT:
+            self.known, self.logs = {}, self.logs[:0]
+        found = [words_of(x or "") for x in texts]
+        new = list({w for f in found for w in f if w not in self.known})
+        self.known |= {w: len(self.logs) + i for i, w in enumerate(new)}
+        self.logs = np.concatenate([self.logs, self.score_words(new)])
+        out = []
+        for f in found:
+            if not f or not self.langs:
+                out.append(("und", 0.0))
+                continue
+            scores = np.array(list(f.values()), np.float64) @ self.logs[[self.known[w] for w in f]].astype(np.float64)
+            scores = np.exp(scores - scores.max())
+            best = int(scores.argmax())
+            out.append((self.langs[best], float(scores[best] / scores.sum())))
+        return out
 
 
 def held_out() -> F.Column:
@@ -117,7 +146,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.value.predict(x.as_py()) for x in batch.column(1)]
+            found = [x for i in range(0, batch.num_rows, ROWS) for x in model.value.predict(batch.column(1).slice(i, ROWS).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "raw", "lang_pred", "score"])
 
     text = column(docs, "text", "string")
@@ -131,6 +160,7 @@ def drop_unknown(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def known(texts):
-        return texts.map(lambda x: model.value.predict(x)[0] != "und")
+        found = [x for i in range(0, len(texts), ROWS) for x, _ in model.value.predict(texts.iloc[i : i + ROWS].tolist())]
+        return pd.Series([x != "und" for x in found], index=texts.index)
 
     return docs.filter(known(column(docs, "text", "string")))

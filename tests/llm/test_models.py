@@ -72,13 +72,16 @@ def test_language_edges(docs, rows):
     assert kept.columns == docs.columns and kept.count() == sum(bool(regex.search(r"\p{L}", t or "")) for _, t, _, _ in rows)
 
 
-def test_language_backs_off():
+def test_language_backs_off(monkeypatch):
     model = language.LanguageModel([("de", "ungen", 5), ("de", "und", 9), ("en", "tion", 5), ("en", "und", 1)])
-    assert model.predict("und und")[0] == "de"
-    assert (model.word("und") == model.words["und"]).all()
-    assert model.predict("xxtion")[0] == "en" and model.predict("qungen")[0] == "de"  # n-grams of unseen words
-    assert model.word("ййй").tolist() == model.word("жжж").tolist()  # only the word borders are known
-    assert language.LanguageModel([]).predict("abc") == ("und", 0.0)
+    assert [x for x, _ in model.predict(["und und", "xxtion", "qungen", None, "12"])] == ["de", "en", "de", "und", "und"]  # words, n-grams of unseen words, no letters
+    for _ in range(2):
+        assert (model.score_words(["und"])[0] == model.word_logs[model.words["und"]]).all()
+        one, other = model.score_words(["\u0439\u0439\u0439", "\u0436\u0436\u0436"])
+        assert one.tolist() == other.tolist() == model.gram_logs[model.grams[" "]].tolist()  # only the word borders are known
+        monkeypatch.setattr(language, "KEPT", 1)
+    assert model.predict(["und tion a", "b"]) == model.predict(["und tion a", "b"])
+    assert language.LanguageModel([]).predict(["abc", None]) == [("und", 0.0)] * 2
 
 
 def brute_ppm(train, texts):
