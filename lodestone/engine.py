@@ -42,10 +42,15 @@ class Engine:
         if bindings:
             self.bindings = self.bindings | {name.lower(): bindings}
 
+    def columns(self) -> set[str]:
+        """Names that are columns somewhere."""
+        return {c.lower() for df in self.tables.values() for c in df.columns} | set(FIELDS)
+
     def parse(self, text: str) -> Query:
-        columns = {c.lower() for df in self.tables.values() for c in df.columns} | set(FIELDS)
+        columns = self.columns()
         known = registry.FUNCTIONS.keys() | registry.AGGREGATES.keys()
-        parser = Parser(text, columns.__contains__, known.__contains__, lambda w: w in registry.FUNCTIONS and registry.FUNCTIONS[w].bare)
+        shown = lambda w: FIELDS[w].name.capitalize() if w in FIELDS else None
+        parser = Parser(text, columns.__contains__, known.__contains__, lambda w: w in registry.FUNCTIONS and registry.FUNCTIONS[w].bare, shown)
         return parser.parse()
 
     def sql(self, text: str) -> DataFrame:

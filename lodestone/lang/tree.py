@@ -19,6 +19,7 @@ class Lit(Expr):
 class Col(Expr):
     name: str
     root: str | None = None
+    shown: str | None = None
 
 
 @dataclass(eq=False)
@@ -160,7 +161,7 @@ def show(x: Expr) -> str:
     if isinstance(x, Lit):
         return x.text
     if isinstance(x, Col):
-        return x.name.capitalize()
+        return x.shown or x.name
     if isinstance(x, Star):
         return "*"
     if isinstance(x, Func):

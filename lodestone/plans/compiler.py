@@ -72,7 +72,7 @@ def is_grouped(q: Query) -> bool:
 
 class Compiler:
     def __init__(self, engine):
-        self.engine = engine
+        self.engine, self.known = engine, engine.columns()
         self.number = count()
 
     # Values
@@ -124,7 +124,7 @@ class Compiler:
             return Value(F.lit(""), STRING)
         if x.root is None:
             found = env.scopes[0].resolve(x.name) if env.scopes else None
-            return found or self.missing(x.name)
+            return found or (self.missing(x.name) if x.name in self.known else V.literal(x.name))
         for scope in env.scopes:
             if scope.alias and scope.alias.lower() == x.root.lower():
                 return scope.resolve(x.name) or self.missing(x.name)
@@ -153,7 +153,8 @@ class Compiler:
                 if isinstance(x.left, Col):
                     raise QueryError(f"{x.right.text} is no date")
                 return F.lit(False)
-            return compare(x.op, left, right)
+            across = isinstance(x.left, Col) and isinstance(x.right, Col) and (x.left.root or "").lower() != (x.right.root or "").lower()
+            return compare(x.op, left, right, across)
         if isinstance(x, In) and x.items is not None:
             left = self.value(x.of, env)
             found = reduce(lambda a, b: a | b, [same_value(left, self.value(i, env)) for i in x.items], F.lit(False))
@@ -386,7 +387,7 @@ class Compiler:
         frames, shown = [], None
         for root in q.roots:
             df, scope, env = self.filtered(root, q.where, [])
-            own = [(Col(n), None) for n in scope.star()]
+            own = [(Col(n, None, n.capitalize() if scope.is_file else n), None) for n in scope.star()]
             items = [p for i in q.items for p in (own if isinstance(i.expr, Star) else [(i.expr, i.alias)])]
             aliases = {a.lower(): x for x, a in items if a}
             order = [aliases.get(x.name, x) if isinstance(x, Col) and scope.resolve(x.name) is None else aliases.get(x.text.lower(), x) if isinstance(x, Lit) and not x.quoted else x for x, _ in q.order]

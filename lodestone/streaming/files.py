@@ -18,4 +18,4 @@ def watch(spark: SparkSession, folder: str, pattern: str = "*", max_files: int =
 
 def counts(events: DataFrame, time: str, window: str, late: str, *keys: str) -> DataFrame:
     """Rows by tumbling window and keys of a stream; rows later than `late` behind the newest are left out, which bounds the state."""
-    return events.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count(F.lit(1)).alias("n"))
