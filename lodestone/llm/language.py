@@ -7,7 +7,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -156,11 +155,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
     """docs' columns, without the rows of no language: null texts and texts without letters."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs))
+    model, at = docs.sparkSession.sparkContext.broadcast(train(docs)), docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        found = [x for i in range(0, len(texts), ROWS) for x, _ in model.value.predict(texts.iloc[i : i + ROWS].tolist())]
-        return pd.Series([x != "und" for x in found], index=texts.index)
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                yield part.filter(pa.array([x != "und" for x, _ in model.value.predict(part.column(at).to_pylist())], pa.bool_()))
 
-    return docs.filter(known(column(docs, "text", "string")))
+    return docs.mapInArrow(known, docs.schema)

@@ -22,8 +22,8 @@ SEGMENT, PARTS = 2, 2
 BLOCK, SMALL = 2048, 48
 #: A list of so many hot cells at most is broadcast.
 BROADCAST_CELLS = 100_000
-#: Shingles whose bits are counted at once.
-CHUNK = 1 << 16
+#: Shingles whose bits are counted at once, and fingerprints whose cells are listed at once.
+CHUNK, LISTED = 1 << 16, 1 << 13
 
 
 def fingerprint(text: str | None) -> int:
@@ -70,8 +70,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places = (np.uint64(SEGMENT + 1) ** np.arange(width, dtype=np.uint64)).astype(np.uint64)
     for batch in batches:
         marks = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for i in range(0, len(marks), CHUNK):
-            some = marks[i : i + CHUNK]
+        for i in range(0, len(marks), LISTED):
+            some = marks[i : i + LISTED]
             counts = embed(some)
             cells, of = [], []
             for part in range(PARTS):
