@@ -16,15 +16,15 @@ from ..shipping import ship
 from .common import column, materialize
 
 #: Bytes of context.
-ORDER = 3
+ORDER = 5
 #: One document in FOLDS is held out: that whose crc32 of the id leaves HELD.
 FOLDS, HELD = 7, 2
 #: Most words whose counts are broadcast, the most frequent; the counts of all others are joined by shuffle.
 HEAD = 200_000
 #: Words and n-grams that a task gathers before it passes them on, and bytes that are scored at once.
-GATHERED, PIECE = 300_000, 1 << 21
-#: Cells (4 bytes) of the model that a worker holds at once; a larger model is used slice by slice.
-SLICE = 32_000_000
+GATHERED, GRAMS, PIECE = 300_000, 1_000_000, 1 << 21
+#: Paths of the trie (about 32 bytes each) that a worker holds at once; a larger model is used slice by slice.
+SLICE = 1_500_000
 
 
 def _buffers(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -48,11 +48,16 @@ def _buffers(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(parts), np.concatenate(owners)
 
 
+def _mask(size: int) -> np.uint64:
+    """The last `size` bytes of a path."""
+    return np.uint64((1 << 8 * size) - 1)
+
+
 def _grams(data: np.ndarray) -> np.ndarray:
-    """At each position from ORDER on, its byte and the ORDER bytes before as one number."""
-    out = np.zeros(len(data) - ORDER, np.uint32)
+    """At each position from ORDER on, its byte and the ORDER bytes before as one number: a path of the trie."""
+    out = np.zeros(len(data) - ORDER, np.uint64)
     for k in range(ORDER + 1):
-        out |= data[k : len(data) - ORDER + k].astype(np.uint32) << np.uint32(8 * (ORDER - k))
+        out |= data[k : len(data) - ORDER + k].astype(np.uint64) << np.uint64(8 * (ORDER - k))
     return out
 
 
@@ -91,9 +96,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words.clear()
             for data, owner in _buffers(texts):
                 grams.append(np.unique(_grams(data)[owner[ORDER:] >= 0], return_counts=True))
-            if sum(len(k) for k, _ in grams) > 4 * GATHERED:
+            if sum(len(k) for k, _ in grams) > 2 * GRAMS:
                 grams[:] = [_merged(grams)]
-                if len(grams[0][0]) > 2 * GATHERED:
+                if len(grams[0][0]) > GRAMS:
                     yield out_grams()
                     grams.clear()
     if words:
@@ -107,92 +112,116 @@ class ByteModel:
     """Prediction by partial matching with contexts of up to ORDER bytes, pretrained.
 
     A context with n counts of d symbols gives a seen symbol count / (n + d) and keeps d / (n + d) for escape to the context that is one byte shorter; there the
-    symbols already seen are excluded. Below order 0, unseen bytes share evenly. What any context of the trie gives any symbol is tabled, so scoring is a lookup.
+    symbols already seen are excluded. Below order 0, unseen bytes share evenly. Symbols seen after a context are seen after every shorter one, so what is left there
+    after exclusion depends on the longer context alone and is stored with it. The trie is kept level by level, as sorted arrays of its paths.
     """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        order = np.argsort(grams)
-        grams, counts = grams[order].astype(np.int64), counts[order].astype(np.float64)
-        parts = [(grams >> (8 * (ORDER - k))) & 255 for k in range(ORDER + 1)]
-        used = np.unique(np.concatenate(parts)) if len(grams) else np.empty(0, np.int64)
-        self.width = w = len(used) + 1  # the last stands for any other byte
-        self.symbol = np.full(256, w - 1, np.int64)
-        self.symbol[used] = np.arange(w - 1)
-        symbols = [self.symbol[p] for p in parts]
-        table = np.bincount(symbols[-1], counts, w) if len(grams) else np.zeros(w)
-        n, d = table.sum(), (table > 0).sum()
-        unseen = 1.0 / max(1, 256 - d)
-        low = [table[None], np.array([n]), np.array([d]), np.full((1, w), unseen)]
-        probability = np.where(table > 0, table / max(n + d, 1), (d / (n + d) if n else 1.0) * unseen)[None]
-        contexts = np.zeros(1, np.int64)
-        for k in range(1, ORDER):
-            key = np.zeros(len(grams), np.int64)
-            for s in symbols[ORDER - k :]:
-                key = key * w + s
-            table = np.bincount(key, counts, w ** (k + 1)).reshape(-1, w) if len(grams) else np.zeros((w**k, w))
-            contexts = np.arange(w**k) % w ** (k - 1)
-            low, probability = self._level(table, contexts, low, probability)
-        self._short, self._low, self._symbols, self._counts = probability, low, symbols, counts
-
-    @staticmethod
-    def _level(table, below, low, probability):
-        """Tables of contexts, of which `below` has the rows of the contexts that are one byte shorter."""
-        table_, n_, d_, unseen_ = low
-        seen = table > 0
-        n, d = table.sum(axis=1), seen.sum(axis=1)
-        rest = table_[below]
-        n_rest, d_rest = n_[below] - (rest * seen).sum(axis=1), d_[below] - d
-        total = (n_rest + d_rest)[:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            unseen = np.where(total <= 0, unseen_[below], np.where(rest > 0, rest / total, d_rest[:, None] / total * unseen_[below]))
-            out = np.where(seen, table / (n + d)[:, None], (d / (n + d))[:, None] * unseen)
-        return [table, n, d, unseen], np.where((n == 0)[:, None], probability[below], out)
-
-    def slices(self, cells: int = SLICE) -> Iterator[ScoreTable]:
-        """Tables for scoring. Each has all contexts that end in some of the symbols; a table holds about `cells` cells."""
-        w = self.width
-        key = np.zeros(len(self._counts), np.int64)
-        for s in self._symbols[:-1]:
-            key = key * w + s
-        contexts, row = np.unique(key, return_inverse=True)
-        groups = max(1, min(w, -(-len(contexts) * w // cells)))
-        short = np.log10(self._short).astype(np.float32)
-        for g in range(groups):
-            own = np.flatnonzero(contexts % w % groups == g)
-            place = np.full(len(contexts), -1, np.int64)
-            place[own] = np.arange(len(own))
-            mine = place[row] >= 0
-            logs = np.empty((len(own), w), np.float32)
-            for i in range(0, len(own), 4096):
-                some = mine & (place[row] >= i) & (place[row] < i + 4096) if len(own) > 4096 else mine
-                size = min(4096, len(own) - i)
-                table = np.bincount((place[row[some]] - i) * w + self._symbols[-1][some], self._counts[some], size * w).reshape(size, w)
-                below = contexts[own[i : i + 4096]] % w ** (ORDER - 1)
-                logs[i : i + 4096] = np.log10(self._level(table, below, self._low, self._short)[1])
-            start = np.tile(np.arange(w ** (ORDER - 1), dtype=np.int32) * w + logs.size, w)
-            start[contexts[own]] = np.arange(len(own), dtype=np.int32) * w
-            yield ScoreTable(self.symbol, w, np.arange(w) % groups == g, start, np.concatenate([logs.ravel(), short.ravel()]))
-
-
-class ScoreTable:
-    def __init__(self, symbol, width, ends, start, logs):
-        self.symbol, self.width, self.ends, self.start, self.logs = symbol, width, ends, start, logs
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, as far as its contexts are in this table."""
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray):
+        """grams: paths of ORDER + 1 bytes as numbers, and their counts; pairs: counts of all 65,536 pairs of bytes (of the whole model, also for a slice of it)."""
+        zero = pairs.reshape(256, 256).sum(axis=0)
+        self.unseen = -np.log10(max(1, 256 - np.count_nonzero(zero)))
+        self.levels = []
+        below = None
+        for k in range(ORDER + 1):
+            if k > 1:
+                keys, at = np.unique(grams & _mask(k + 1), return_inverse=True)
+                own = np.bincount(at, counts, len(keys))
+            else:
+                table = pairs if k else zero
+                keys = np.flatnonzero(table).astype(np.uint64)
+                own = table[keys.astype(np.int64)].astype(np.float64)
+            starts = np.flatnonzero(np.append(True, (keys[1:] >> np.uint64(8)) != (keys[:-1] >> np.uint64(8)))) if len(keys) else np.empty(0, np.int64)
+            contexts = keys[starts] >> np.uint64(8)
+            d = np.diff(np.append(starts, len(keys))).astype(np.float64)
+            n = np.add.reduceat(own, starts) if len(keys) else np.empty(0)
+            of = np.repeat(np.arange(len(starts)), d.astype(np.int64))
+            level = {"keys": keys, "contexts": contexts, "seen": np.log10(own / (n + d)[of]).astype(np.float32), "count": np.log10(own).astype(np.float32), "escape": np.log10(d / (n + d)).astype(np.float32)}
+            if k and len(keys):
+                shorter = np.searchsorted(below["contexts"], contexts & _mask(k - 1))
+                excluded = np.add.reduceat(below["own"][np.searchsorted(below["keys"], keys & _mask(k))], starts)
+                rest = below["d"][shorter] - d
+                left = below["n"][shorter] - excluded + rest
+                with np.errstate(divide="ignore"):
+                    level |= {"left": np.where(left > 0, np.log10(np.maximum(left, 1)), np.nan).astype(np.float32), "rest": np.log10(np.maximum(rest, 1)).astype(np.float32)}
+            self.levels.append(level)
+            below = {"keys": keys, "contexts": contexts, "own": own, "n": n, "d": d}
+
+    def log10(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each path after the bytes before it."""
+        out, fresh, open_ = np.zeros(len(grams)), np.ones(len(grams), bool), np.ones(len(grams), bool)
+        longer = np.zeros(len(grams), np.int64)
+        for k in range(ORDER, -1, -1):
+            t = self.levels[k]
+            if not len(t["keys"]):
+                continue
+            at = np.flatnonzero(open_)
+            path = grams[at] & _mask(k + 1)
+            ctx = path >> np.uint64(8)
+            x = np.minimum(np.searchsorted(t["contexts"], ctx), len(t["contexts"]) - 1)
+            known = t["contexts"][x] == ctx
+            g = np.minimum(np.searchsorted(t["keys"], path), len(t["keys"]) - 1)
+            found = t["keys"][g] == path
+            new = fresh[at] & known
+            if k < ORDER and "left" in self.levels[k + 1]:
+                old = ~fresh[at]
+                left, rest = (self.levels[k + 1][c][longer[at]] for c in ("left", "rest"))
+                some = old & ~np.isnan(left)
+                out[at] += np.where(some, np.where(found, t["count"][g], rest) - left, 0)
+                done = some & found
+            else:
+                done = np.zeros(len(at), bool)
+            out[at] += np.where(new, np.where(found, t["seen"][g], t["escape"][x]), 0)
+            done |= new & found
+            fresh[at[known]] = False
+            longer[at] = x
+            open_[at[done]] = False
+        out[open_] += self.unseen
+        return out
+
+    def score(self, texts: list[bytes], ends: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each text; ends: only of the bytes that come after one of these pairs of bytes (a truth value for each)."""
         out = np.zeros(len(texts))
         for data, owner in _buffers(texts):
-            symbols = self.symbol[data]
-            context = np.zeros(len(data) - ORDER, np.int64)
-            for k in range(ORDER):
-                context = context * self.width + symbols[k : len(data) - ORDER + k]
-            logs = self.logs[self.start[context] + symbols[ORDER:]]
-            own = (owner[ORDER:] >= 0) & self.ends[symbols[ORDER - 1 : -1]]
-            out += np.bincount(owner[ORDER:][own], logs[own], len(texts))
+            own = owner[ORDER:] >= 0
+            if ends is not None:
+                own &= ends[data[ORDER - 2 : -2].astype(np.int64) << 8 | data[ORDER - 1 : -1]]
+            grams, at = np.unique(_grams(data)[own], return_inverse=True)
+            out += np.bincount(owner[ORDER:][own], self.log10(grams)[at], len(texts))
         return out
 
 
-def score(docs: DataFrame, head: int = HEAD, cells: int = SLICE) -> DataFrame:
+def slices(paths: DataFrame, most: int = SLICE) -> Iterator[tuple[np.ndarray | None, ByteModel]]:
+    """(ends, model) from the paths (gram, n) of a trie: models of about `most` paths at most, and what each is for.
+
+    A model has all contexts that end in one of the pairs of bytes `ends` (None: in any), so each byte of a text is scored by one of them. The driver reads one slice at
+    a time, and of the whole trie only what there is for each pair of bytes: 65,536 rows at most.
+    """
+
+    def by_pair(pair, measure):
+        out = np.zeros(1 << 16)
+        for key, n in paths.groupBy(pair.cast("int").alias("pair")).agg(measure).toLocalIterator():
+            out[key] = n
+        return out
+
+    pairs = by_pair(F.col("gram").bitwiseAND(0xFFFF), F.sum("n"))
+    end = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
+    sizes = by_pair(end, F.count(F.lit(1)))
+    read = lambda rows: [rows.column(k).to_numpy().astype(t) for k, t in ((0, np.uint64), (1, np.float64))]
+    parts = max(1, -(-int(sizes.sum()) // most))
+    if parts == 1:
+        yield None, ByteModel(*read(paths.select("gram", "n").toArrow()), pairs)
+        return
+    group, held = np.full(1 << 16, -1), np.zeros(parts)
+    for pair in np.argsort(-sizes):  # the largest first, each to the part that holds least
+        group[pair] = held.argmin()
+        held[group[pair]] += max(sizes[pair], 1)
+    table = paths.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(group) if sizes[i]], "pair int, part int")
+    dealt = paths.join(F.broadcast(table), end.cast("int") == F.col("pair"))
+    for i in range(parts):
+        yield group == i, ByteModel(*read(dealt.filter(F.col("part") == i).select("gram", "n").toArrow()), pairs)
+
+
+def score(docs: DataFrame, head: int = HEAD, paths: int = SLICE) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Every row that is not held out is learned from, whole; null texts count as empty, and rows with null ids are not held out. Tokens are words, A-Z
@@ -218,22 +247,22 @@ def score(docs: DataFrame, head: int = HEAD, cells: int = SLICE) -> DataFrame:
         least = k
     is_head = F.floor(F.log2("n") * 4) >= least
     known = spark.sparkContext.broadcast({bytes(r[0]): math.log10(r[1] + 1) for r in words.filter(is_head).toLocalIterator()})
-    grams = counts.filter("gram >= 0").select("gram", "n").toArrow()  # byte n-grams, not documents'
-    tables = [spark.sparkContext.broadcast(x) for x in ByteModel(grams.column(0).to_numpy(), grams.column(1).to_numpy()).slices(cells)]
-    del grams
+    tables = [spark.sparkContext.broadcast(x) for x in slices(counts.filter("gram >= 0").select("gram", "n"), paths)]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, names = TaskContext.get().partitionId() << 40, ["row", "doc_id", "held_out", "n_words", "n_head", "head_score", "score", "tail", "tail_n"]
         of = known.value
         for batch in batches:
+            marks = np.zeros(batch.num_rows)
+            for table in tables:
+                ends, model = table.value
+                for i in range(0, batch.num_rows, 512):
+                    marks[i : i + 512] += model.score([(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).slice(i, 512).to_pylist()], ends)
+                if len(tables) > 1:
+                    del table._value, model  # one slice at a time; it is read again from the worker's file
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 texts = [(x or "").encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
-                marks = np.zeros(len(texts))
-                for table in tables:
-                    marks += table.value.score(texts)
-                    if len(tables) > 1:
-                        del table._value  # one slice at a time; it is read again from the worker's file
                 n, n_head, logs, tail, tail_n = [], [], [], [], []
                 for x in texts:
                     found = words_of(x)
@@ -245,7 +274,7 @@ def score(docs: DataFrame, head: int = HEAD, cells: int = SLICE) -> DataFrame:
                     tail_n.append([found[w] for w in tail[-1]])
                 ids = np.arange(row, row + len(texts))
                 row += len(texts)
-                columns = [pa.array(ids), part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(n_head, pa.int64()), pa.array(logs, pa.float64()), pa.array(marks), pa.array(tail, pa.list_(pa.binary())), pa.array(tail_n, pa.list_(pa.int64()))]
+                columns = [pa.array(ids), part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(n_head, pa.int64()), pa.array(logs, pa.float64()), pa.array(marks[i : i + 512]), pa.array(tail, pa.list_(pa.binary())), pa.array(tail_n, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = "row long, doc_id long, held_out boolean, n_words long, n_head long, head_score double, score double, tail array<binary>, tail_n array<long>"

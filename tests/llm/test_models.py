@@ -84,18 +84,18 @@ def test_language_backs_off(monkeypatch):
     assert language.LanguageModel([]).predict(["abc", None]) == [("und", 0.0)] * 2
 
 
-def brute_ppm(train, texts):
-    counts = [defaultdict(Counter) for _ in range(4)]
+def brute_ppm(train, texts, order=scoring.ORDER):
+    counts = [defaultdict(Counter) for _ in range(order + 1)]
     for t in train:
-        data = bytes(3) + t
-        for i in range(3, len(data)):
-            for k in range(4):
+        data = bytes(order) + t
+        for i in range(order, len(data)):
+            for k in range(order + 1):
                 counts[k][data[i - k : i]][data[i]] += 1
 
     def probability(context, symbol):
         p, excluded = 1.0, set()
-        for k in range(3, -1, -1):
-            seen = {s: n for s, n in counts[k].get(context[3 - k :], {}).items() if s not in excluded}
+        for k in range(order, -1, -1):
+            seen = {s: n for s, n in counts[k].get(context[order - k :], {}).items() if s not in excluded}
             if not seen:
                 continue
             n, d = sum(seen.values()), len(seen)
@@ -105,11 +105,11 @@ def brute_ppm(train, texts):
             excluded |= set(seen)
         return p / (256 - len(excluded))
 
-    return [sum(math.log10(probability((bytes(3) + t)[i : i + 3], b)) for i, b in enumerate(t)) for t in texts]
+    return [sum(math.log10(probability((bytes(order) + t)[i : i + order], b)) for i, b in enumerate(t)) for t in texts]
 
 
-@pytest.mark.parametrize(("head", "cells"), [(200_000, 32_000_000), (40, 2_000)])
-def test_scoring(docs, rows, head, cells):
+@pytest.mark.parametrize(("head", "paths"), [(200_000, 1_500_000), (40, 8_000)])
+def test_scoring(docs, rows, head, paths):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     rows = [(i, (t or "").encode()) for i, t, _, _ in rows]
     train = [t for i, t in rows if not held(i)]
@@ -120,7 +120,7 @@ def test_scoring(docs, rows, head, cells):
     for (i, t), p in zip(rows, brute_ppm(train, [t for _, t in rows]), strict=True):
         found = [*re.findall(rb"[^\x20\x09-\x0d]+", t.lower()), None]
         want.append((i, held(i), len(found), sum(counts[w] > 0 for w in found), total, sum(math.log10((counts[w] + 1) / (total + size + 1)) for w in found), p))
-    got = [tuple(r) for r in scoring.score(docs, head, cells).collect()]
+    got = [tuple(r) for r in scoring.score(docs, head, paths).collect()]
     key = lambda r: tuple((x is None, x or 0) for x in r[:4]) + (round(r[5], 3),)
     want, got = sorted(want, key=key), sorted(got, key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
@@ -128,13 +128,22 @@ def test_scoring(docs, rows, head, cells):
     assert np.allclose([r[6] for r in got], [r[6] for r in want], rtol=1e-5, atol=1e-5)
 
 
-def test_scoring_probabilities_add_up():
+def test_scoring_probabilities_add_up(spark):
     text = b"abracadabra abracadabra"
-    grams = scoring._grams(np.frombuffer(bytes(3) + text, np.uint8))
-    (table,) = scoring.ByteModel(*np.unique(grams, return_counts=True)).slices()
-    for start in (b"abr", b"zzz", b"aab", b""):
-        own = table.score([start])[0]
-        assert math.isclose(sum(10 ** (x - own) for x in table.score([start + bytes([k]) for k in range(256)])), 1, rel_tol=1e-4)
+    found = np.unique(scoring._grams(np.frombuffer(bytes(scoring.ORDER) + text, np.uint8)), return_counts=True)
+    paths = spark.createDataFrame([(int(g), int(n)) for g, n in zip(*found, strict=True)], "gram long, n long")
+    ((_, model),) = scoring.slices(paths)
+    for start in (b"abr", b"zzz", b"aab", b"", b"abracad", b"cadab"):
+        own = model.score([start])[0]
+        assert math.isclose(sum(10 ** (x - own) for x in model.score([start + bytes([k]) for k in range(256)])), 1, rel_tol=1e-4)
+    parts = list(scoring.slices(paths, 5))
+    assert len(parts) > 3 and np.allclose(sum(m.score([text, b"xyz", b""], ends) for ends, m in parts), model.score([text, b"xyz", b""]), atol=1e-5)
+
+
+def test_scoring_beats_the_baseline(spark):
+    """On held-out rows the byte model codes in fewer digits than the word unigrams."""
+    found = scoring.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert found[0] > found[1]
 
 
 def test_scoring_without_training(spark, none):
