@@ -22,9 +22,9 @@ FOLDS, HELD = 7, 2
 #: Most words whose counts are broadcast, the most frequent; the counts of all others are joined by shuffle.
 HEAD = 200_000
 #: Words and n-grams that a task gathers before it passes them on, and bytes that are scored at once.
-GATHERED, GRAMS, PIECE = 300_000, 1_000_000, 1 << 21
+GATHERED, GRAMS, PIECE = 200_000, 500_000, 1 << 19
 #: Paths of the trie (about 32 bytes each) that a worker holds at once; a larger model is used slice by slice.
-SLICE = 1_500_000
+SLICE = 800_000
 
 
 def _buffers(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -36,7 +36,7 @@ def _buffers(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         data = np.frombuffer(bytes(ORDER) + text, np.uint8)
         for at in range(ORDER, len(data), PIECE):
             part = data[at - ORDER : at + PIECE]
-            owner = np.full(len(part), i, np.int64)
+            owner = np.full(len(part), i, np.int32)
             owner[:ORDER] = -1
             parts.append(part)
             owners.append(owner)
