@@ -24,7 +24,7 @@ HEAD = 200_000
 #: Words and n-grams that a task gathers before it passes them on, and bytes that are scored at once.
 GATHERED, GRAMS, PIECE = 200_000, 500_000, 1 << 19
 #: Paths of the trie (about 32 bytes each) that a worker holds at once; a larger model is used slice by slice.
-SLICE = 800_000
+SLICE = 1_000_000
 
 
 def _buffers(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
