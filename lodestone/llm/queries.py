@@ -116,5 +116,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id"""
 
 
+_PARTS = (
+    r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    r"AKIA[A-Z0-9]+", r"[0-9a-f]+", r"""(?i:access_?key_?id|client_?id|user_?name|account|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""",
+    r"[A-Za-z0-9+/_=-]+", r"""(?i:https?|wss?|postgres|mysql|mongodb|redis|amqp|ftp)://[^\x20\x09-\x0D"'<>]+""",
+)
+
+
+def _part(kind: int, pattern: str, group: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"SELECT rid, {kind} AS kind, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS own, regexp_extract_all(t, '{pattern}', {group}) AS part FROM d WHERE regexp_matches(t, '{pattern}')"
+
+
+_SECRETS = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),\nm AS ("
+    + "\nUNION ALL ".join(_part(k, p, 2 if k == 0 else 0) for k, p in enumerate(_PARTS))
+    + r"""),
+x AS (SELECT rid, kind, unnest(range(1, len(own) + 1)) AS i, gaps, own, part FROM m),
+y AS (SELECT rid, kind, i, length(gaps[i]) AS gap, own[i] AS o, part[i] AS p FROM x),
+z AS (SELECT rid, kind, o, p, CAST(sum(gap + length(o)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS e FROM y),
+s AS (SELECT rid, kind, e - length(o) AS s, e FROM z WHERE CASE kind WHEN 0 THEN length(p) >= 6 WHEN 1 THEN length(o) >= 20 WHEN 2 THEN length(o) >= 24
+        WHEN 4 THEN length(o) >= 20 AND regexp_matches(substr(o, 1, 64), '[0-9]') AND regexp_matches(substr(o, 1, 64), '[a-z]') AND regexp_matches(substr(o, 1, 64), '[A-Z]') ELSE true END),
+keys AS (SELECT * FROM s k WHERE kind = 4 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.rid = k.rid AND b.kind < 3 AND b.s < k.e AND b.e > k.s)),
+secrets AS (SELECT * FROM s WHERE kind IN (0, 2) UNION ALL SELECT * FROM keys),
+f AS (SELECT * FROM s WHERE kind < 3
+      UNION ALL SELECT * FROM s w WHERE kind IN (3, 5) AND EXISTS (SELECT 1 FROM secrets c WHERE c.rid = w.rid AND abs(c.s - w.s) <= 256)
+      UNION ALL SELECT * FROM keys k WHERE EXISTS (SELECT 1 FROM s c WHERE c.rid = k.rid AND c.kind IN (1, 3, 5) AND abs(c.s - k.s) <= 256)),
+n AS (SELECT rid, kind, s, e, concat(['assign', 'access', 'hex', 'id', 'key', 'endpoint'][kind + 1], ':', s, ':', e) AS shown FROM f),
+a AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+        coalesce(string_agg(shown, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3), '') AS base, string_agg(shown, ',' ORDER BY s, kind, e) AS spans FROM n GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": _MIX, "op2_exact_dedup": _EXACT, "op7_decontamination": _LEAKS, "op10_chat_formatting": _CHAT}
+    return {"op1_source_mixing": _MIX, "op2_exact_dedup": _EXACT, "op5_secret_scan": _SECRETS, "op7_decontamination": _LEAKS, "op10_chat_formatting": _CHAT}

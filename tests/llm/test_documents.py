@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from lodestone.llm import exact_dedup, mixing, secrets, sharding, simhash, tokens
+from lodestone.llm import exact_dedup, mixing, queries, secrets, sharding, simhash, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -219,6 +219,18 @@ def test_secrets(spark, docs, rows):
     assert added[5:11] == [[], ["id", "key"], [], [], ["endpoint", "key"], ["endpoint"]]
 
 
+def test_secret_sql(spark):
+    """The SQL of the registered query agrees on these texts too."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, t in enumerate([*SECRETS, None, "", f"{KEY} client_id=x {KEY}", "token=abcdef"])])
+    docs = spark.createDataFrame(con.execute("SELECT * FROM documents").fetchall(), "doc_id long, text string")
+    found = secrets.scan_report(docs)
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.oracle_sql()['op5_secret_scan']})").fetchall())
+
+
 def test_tokens(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
