@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions import registry
 from .lang.parser import Parser, QueryError
 from .lang.tree import Query, Root
 from .plans.compiler import Compiler, scan_columns
 from .plans.scope import BINDINGS
+from .plans.values import US_DATES
 from .sinks.render import render
 from .sources import fsentries
 from .sources.fields import FIELDS
@@ -30,6 +32,7 @@ class Engine:
         self.tables = {k.lower(): v for k, v in (tables or {}).items()}
         self.bindings = BINDINGS | (bindings or {})
         self.config = config or {}
+        self.listings: dict[str, DataFrame] = {}
         self._stat = True
 
     @classmethod
@@ -60,7 +63,17 @@ class Engine:
     def run(self, query: Query) -> DataFrame:
         used = scan_columns(query)
         self._stat = bool(used - FROM_PATH) or "*" in used
-        return Compiler(self).result(query)
+        token = US_DATES.set(bool(self.config.get("us_dates")))
+        try:
+            return Compiler(self).result(query)
+        finally:
+            US_DATES.reset(token)
+
+    def snapshot(self, name: str, path: str, folder: str, **options) -> DataFrame:
+        """Write a listing of a file tree as Parquet to a folder; from then on `from name` reads the listing instead of walking the tree."""
+        fsentries.scan(self.spark, path, **options).write.mode("overwrite").parquet(folder)
+        self.listings[name.lower()] = found = self.spark.read.parquet(folder)
+        return found
 
     def text(self, query: str) -> str:
         """The result of a query in the format that it asks for."""
@@ -70,6 +83,8 @@ class Engine:
     def table(self, root: Root) -> tuple[DataFrame, bool, dict[str, str]]:
         """A root's rows, whether they are files, and which columns stand for fields."""
         name = root.path.lower()
+        if name in self.listings:
+            return self.listings[name].filter(F.col("_depth").between(root.options.get("mindepth", 0), root.options.get("maxdepth") or 1 << 30)), True, {}
         if name in self.tables:
             return self.tables[name], False, self.bindings.get(name, {})
         if name.endswith(".parquet"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextvars import ContextVar
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -63,10 +64,14 @@ _WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday",
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
-def parse_date(text: str, now: datetime | None = None, us: bool = False) -> tuple[datetime, datetime] | None:
+#: Is the month first in dates like 1/2/2020?
+US_DATES: ContextVar[bool] = ContextVar("us_dates", default=False)
+
+
+def parse_date(text: str, now: datetime | None = None, us: bool | None = None) -> tuple[datetime, datetime] | None:
     """The first and the last second that a date literal means: ISO dates to any precision, days (today, yesterday, +N, -N, N days ago, last friday, apr 1, 1 apr 2020, d/m/y)."""
     text = text.strip().lower()
-    now = now or datetime.now()
+    now, us = now or datetime.now(), US_DATES.get() if us is None else us
     day = lambda d: (datetime(d.year, d.month, d.day), datetime(d.year, d.month, d.day, 23, 59, 59))
     try:
         if m := re.fullmatch(r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[t ]+(\d{1,2})(?::(\d{1,2}))?(?::(\d{1,2}))?(?:\.\d+)?)?", text):

@@ -84,6 +84,15 @@ def test_contents(engine, tmp_path):
     assert sorted(paths(engine, f"name from {tmp_path} where contains('hi')")) == ["bom"] and paths(engine, f"name from {tmp_path} where line_count = 2 and is_text and word_count = 3 order by 1") == ["ascii", "utf8"]
 
 
+def test_snapshot(spark, tree, tmp_path):
+    own = Engine(spark, config={"us_dates": True})
+    own.snapshot("listed", str(tree), str(tmp_path / "out"))
+    assert sorted(paths(own, "path from listed where size > 100 and is_file and line_count = 0")) == ["z/last"]
+    assert "listed" not in own.tables and paths(own, "path from listed depth 1 where modified < 12/31/2020") == []
+    assert paths(own, "path from listed depth 1 order by path") == ["a.txt", "b", "empty", "noext", "z"]
+    assert len(paths(own, "name from listed where modified > '1/31/2001'")) == 10
+
+
 def test_links(engine, tmp_path):
     make(tmp_path, {"root/a/file.txt": "1", "hidden/deep.txt": "2"})
     os.symlink("../hidden", tmp_path / "root/link")
