@@ -168,7 +168,7 @@ def _round(x, places=None):
     p = integer(places).cast("double") if places else F.lit(0.0)
     scale = F.pow(F.lit(10.0), p)
     scaled = v * scale
-    whole = F.signum(scaled) * F.floor(F.abs(scaled)) + F.when(F.abs(scaled) - F.floor(F.abs(scaled)) >= 0.5, F.signum(scaled)).otherwise(0.0)
+    whole = F.signum(scaled) * F.floor(F.abs(scaled)) + F.when(F.abs(scaled) - F.floor(F.abs(scaled)) >= 0.5, F.signum(scaled)).otherwise(F.signum(scaled) * 0.0)
     return F.when(F.abs(scaled) < 4503599627370496.0, whole / scale).otherwise(F.when(p >= 0, v).otherwise(0.0))
 
 
