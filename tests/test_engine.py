@@ -153,7 +153,7 @@ def test_catalogue(spark):
             assert sorted(names) == sorted(found.columns), name
             assert clean([[r[n] for n in names] for r in got]) == clean(want.fetchall()), name
 
-    with ThreadPoolExecutor(4) as pool:  # planning takes most of the time
+    with ThreadPoolExecutor(4) as pool:
         list(pool.map(check, catalogue.queries().items()))
 
 
