@@ -6,6 +6,7 @@ import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A value in more rows than HOT_ROWS, and than one in HOT_VALUES of all rows, is hot: its rows are split. So at most HOT_VALUES values are hot.
+HOT_ROWS, HOT_VALUES = 1024, 65_536
+
 _written: dict[str, SparkSession] = {}
 
 
@@ -29,34 +33,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    This cuts lineage and survives lost executors. The files go at the end of the Python process, or earlier with release().
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder. What is written there goes at the end of the Python process, or earlier with release()."""
     path = f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _written:
         atexit.register(release)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
-def release() -> None:
-    """Delete what materialize() has written."""
-    while _written:
-        path, spark = _written.popitem()
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back. This cuts lineage and survives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(paths: set[str] | None = None) -> None:
+    """Delete scratch files: those of these paths, or all."""
+    for path in list(_written) if paths is None else paths:
+        spark = _written.pop(path, None)
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session has ended: the shared folder's owner clears it
-            return
+            continue
+
+
+def materialize_stage(make: Callable[[], DataFrame]) -> DataFrame:
+    """materialize(make()), and then delete what else make() has written to the shared folder on the way."""
+    before = set(_written)
+    out = make()
+    made = set(_written) - before
+    out = materialize(out)
+    release(made)
+    return out
 
 
 def column(df: DataFrame, name: str, kind: str) -> Column:
-    """df's column of that name, cast; null where df has no such column."""
-    return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
+    """df's column of that name, cast; null where df has no such column. Case counts only if it does for Spark."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    found = next((c for c in df.columns if c == name or not exact and c.lower() == name.lower()), None)
+    return F.col(f"`{found}`").cast(kind) if found else F.lit(None).cast(kind)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's values, to break ties by; columns that Spark can't hash are left out."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*cols) if cols else F.lit(0).cast("long")
 
 
 def word_count(text: Column) -> Column:
@@ -92,3 +116,39 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, ties: list[Column],
         .withColumn(out, (F.col("_offset") + F.coalesce(F.sum(weight).over(own), F.lit(0))).cast("long"))
         .drop("_bucket", "_offset")
     )
+
+
+def hot_limit(rows: int) -> int:
+    """A value in more than so many of these rows is hot."""
+    return max(HOT_ROWS, -(-rows // HOT_VALUES))
+
+
+def hot_values(rows: DataFrame, key: str) -> DataFrame | None:
+    """(key): the hot values of a column, HOT_VALUES at most, counted with a map-side sum; None if there is none."""
+    hot = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_limit(rows.count())).select(key))
+    return hot if hot.head(1) else None
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None = None, look: bool = True) -> DataFrame:
+    """Inner join of rows to a table that has each key once. Rows of hot keys meet a broadcast of the table's few rows for these, the others are shuffled.
+
+    hot: the hot keys, if they are known; look: else find them.
+    """
+    hot = hot_values(rows, key) if hot is None and look else hot
+    if hot is None:
+        return rows.join(table, key)
+    few = table.join(F.broadcast(hot), key, "left_semi")
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
+
+
+def copy_numbers(rows: DataFrame, key: str) -> DataFrame:
+    """Add `_copy`: 0, but numbers from 0, in any order, to rows of a hot value of key. rows are written ones and have a column `_id` that differs from row to row.
+
+    Rows alike in all that counts are interchangeable, so that an order by (key, _copy) is the same in each run, and no value holds many rows of it.
+    """
+    hot = hot_values(rows, key)
+    if hot is None:
+        return rows.withColumn("_copy", F.lit(0).cast("long"))
+    many = rows.join(F.broadcast(hot), key, "left_semi").withColumn("_spread", low32("_id"))
+    many = prefix_sums(many, [key], "_spread", [F.col("_id")], F.lit(1), bucket_count(rows.count()), "_copy").drop("_spread")
+    return rows.join(F.broadcast(hot), key, "left_anti").withColumn("_copy", F.lit(0).cast("long")).unionByName(many)

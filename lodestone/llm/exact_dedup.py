@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .common import SPACE, column, materialize
 
-#: A text in more rows than this, and than a 65,536th of all rows, is hot: its rows are salted. So at most 65,536 texts are hot.
-HOT_ROWS, HOT_TEXTS = 1024, 65_536
 #: Splitters are sampled from (first characters, digest, salt), which stays short for any text.
 PREFIX = 32
 
@@ -24,10 +23,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     text = F.regexp_replace(F.coalesce(column(docs, "text", "string"), F.lit("")), f"{SPACE}+", " ")
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), text.alias("_text"), F.xxhash64(column(docs, "text", "string")).alias("_raw")).withColumn("text_sha256", F.sha2("_text", 256))
-    counts = materialize(rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("_n")))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    most = max(HOT_ROWS, -(-total // HOT_TEXTS))
-    hot = counts.filter(F.col("_n") > most).select("text_sha256", F.ceil(F.col("_n") / most).alias("_salts"))  # at most HOT_TEXTS rows
+    most = common.hot_limit(rows.count())
+    counts = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > most).select("text_sha256", F.ceil(F.col("_n") / most).alias("_salts"))  # at most common.HOT_VALUES rows
     salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("doc_id", "_raw"), F.col("_salts"))).otherwise(0)
     rows = rows.join(F.broadcast(hot), "text_sha256", "left").withColumn("_salt", salt).withColumn("_start", F.substring("_text", 1, PREFIX))
     dealt = rows.repartitionByRange("_start", "text_sha256", "_salt")

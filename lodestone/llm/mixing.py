@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, column, materialize, prefix_sums, word_count
+from .common import bucket_count, column, copy_numbers, materialize, prefix_sums, row_hash, word_count
 
 #: Phases of training: the share of training time, and the weights that sources get by rank, repeating. Integrated: 3, 1, 2.
 CURRICULUM = ((0.5, (2, 1, 3)), (0.5, (4, 1, 1)))
@@ -57,25 +57,29 @@ def plan_mix(docs: DataFrame, carry: list[str], curriculum=CURRICULUM, budget: f
 
     Columns: _row (struct of the columns named in carry), size (words), source_size, target (its source's), copies, taken (words
     taken, repeats counted), position (of the first copy, null if none) and _positions (of all copies). A source streams its documents in
-    the order of md5(doc_id) until its target is met, again from the start if need be; a document is whole or left out, and the last one is taken
-    if that comes nearer to the target. Null text has size 0; null sources are one source, the last; null ids sort as ''. A source without
-    words has target 0 and keeps each row once. An empty table gives an empty one. Reruns agree, as order depends on values alone.
+    the order of a digest of id and text until its target is met, again from the start if need be; a document is whole or left out, and the last one is taken
+    if that comes nearer to the target. Null text has size 0; null sources are one source, the last; null ids count as ''. A source without
+    words has target 0 and keeps each row once. An empty table gives an empty one. Reruns agree, as order depends on values alone: rows of one id and text are
+    ordered by their other values, and hot ones (a third of the rows may be) are numbered, so that none holds a window of its own.
     """
+    text = column(docs, "text", "string")
     wide = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"),
         column(docs, "source", "string").isNull().alias("_null"),
         F.coalesce(column(docs, "source", "string"), F.lit("")).alias("_source"),
-        word_count(column(docs, "text", "string")).alias("size"),
-        F.md5(F.coalesce(column(docs, "doc_id", "string"), F.lit(""))).alias("_md5"),
-    ).withColumn("_order", F.conv(F.substring("_md5", 1, 8), 16, 10).cast("long"))
-    keys = ["_null", "_source"]
-    if carry == ["doc_id"]:
-        wide = narrow = materialize(wide)
-    else:
-        narrow = materialize(wide.drop("_row"))
+        word_count(text).alias("size"),
+        F.concat_ws("|", F.coalesce(column(docs, "doc_id", "string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))).alias("_same"),
+        row_hash(docs.select(*[F.col(f"`{c}`") for c in carry])).alias("_rest"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    # Words and digests of the texts are worked out once; all that follows reads them.
+    wide = copy_numbers(materialize(wide), "_same")
+    wide = wide.withColumn("_md5", F.md5(F.when(F.col("_copy") > 0, F.concat_ws("|", "_same", "_copy")).otherwise(F.col("_same")))).drop("_same", "_copy", "_id")
+    wide = wide.withColumn("_order", F.conv(F.substring("_md5", 1, 8), 16, 10).cast("long"))
+    keys, narrow = ["_null", "_source"], wide.drop("_row")
     sizes = narrow.groupBy(*keys).agg(F.sum("size").alias("_size"))
     targets = materialize(source_targets(sizes, curriculum, budget, repeat))
-    rows = prefix_sums(wide, keys, "_order", [F.col("_md5"), F.col("size")], F.col("size"), bucket_count(narrow.count()), "_before", narrow)
+    rows = prefix_sums(wide, keys, "_order", [F.col("_md5"), F.col("_rest")], F.col("size"), bucket_count(narrow.count()), "_before", narrow)
     passes = F.when(F.col("_size") > 0, F.floor(F.col("_target") / F.col("_size"))).otherwise(1)
     rest = F.col("_target") - passes * F.col("_size")
     rows = rows.join(F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets, keys)
@@ -85,17 +89,17 @@ def plan_mix(docs: DataFrame, carry: list[str], curriculum=CURRICULUM, budget: f
     positions = F.array(*[F.when(F.col("copies") > k, at(F.lit(k))) for k in range(int(repeat))])
     return rows.select(
         "_row", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"),
-        positions[0].alias("position"), F.filter(positions, lambda x: x.isNotNull()).alias("_positions"), "_md5",
+        positions[0].alias("position"), F.filter(positions, lambda x: x.isNotNull()).alias("_positions"), "_md5", "_rest", "_rest",
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs' columns, each row as often as it is taken, range-sorted by training position."""
-    taken = plan_mix(docs, docs.columns, **options).select("_row", "_md5", F.explode("_positions").alias("_at"))
-    return taken.orderBy("_at", "_md5").select("_row.*")
+    taken = plan_mix(docs, docs.columns, **options).select("_row", "_md5", "_rest", F.explode("_positions").alias("_at"))
+    return taken.orderBy("_at", "_md5", "_rest").select("_row.*")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and position of every row, range-sorted by position; rows not taken come last."""
     planned = plan_mix(docs, ["doc_id"], **options)
-    return planned.orderBy(F.col("position").asc_nulls_last(), "_md5").select("_row.doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    return planned.orderBy(F.col("position").asc_nulls_last(), "_md5", "_rest").select("_row.doc_id", "size", "source_size", "target", "taken", "copies", "position")

@@ -67,8 +67,10 @@ def queries() -> dict:
 
 _MIX = r"""
 WITH d AS (
-  SELECT doc_id, source IS NULL AS nul, coalesce(source, '') AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
-         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source IS NULL AS nul, coalesce(source, '') AS src,
+         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', md5(coalesce(text, '')), CASE WHEN nth > 0 AND same > greatest(1024, ceil(everything / 65536)) THEN concat('|', nth) END)) AS h,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM (SELECT *, count(*) OVER () AS everything, count(*) OVER (PARTITION BY doc_id, coalesce(text, '')) AS same, row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1 AS nth FROM documents)),
 s AS (SELECT nul, src, CAST(sum(size) AS BIGINT) AS total FROM d GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (ORDER BY nul, src) - 1 AS k FROM s),
 w AS (SELECT *, CAST(CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, total * CAST(2 AS DOUBLE) AS cap FROM r),
@@ -136,7 +138,7 @@ x AS (SELECT rid, kind, unnest(range(1, len(own) + 1)) AS i, gaps, own, part FRO
 y AS (SELECT rid, kind, i, length(gaps[i]) AS gap, own[i] AS o, part[i] AS p FROM x),
 z AS (SELECT rid, kind, o, p, CAST(sum(gap + length(o)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS e FROM y),
 s AS (SELECT rid, kind, e - length(o) AS s, e FROM z WHERE CASE kind WHEN 0 THEN length(p) >= 6 WHEN 1 THEN length(o) >= 20 WHEN 2 THEN length(o) >= 24
-        WHEN 4 THEN length(o) >= 20 AND regexp_matches(substr(o, 1, 64), '[0-9]') AND regexp_matches(substr(o, 1, 64), '[a-z]') AND regexp_matches(substr(o, 1, 64), '[A-Z]') ELSE true END),
+        WHEN 4 THEN length(o) >= 20 AND regexp_matches(o, '[0-9]') AND regexp_matches(o, '[a-z]') AND regexp_matches(o, '[A-Z]') ELSE true END),
 keys AS (SELECT * FROM s k WHERE kind = 4 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.rid = k.rid AND b.kind < 3 AND b.s < k.e AND b.e > k.s)),
 secrets AS (SELECT * FROM s WHERE kind IN (0, 2) UNION ALL SELECT * FROM keys),
 f AS (SELECT * FROM s WHERE kind < 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,26 +13,28 @@ from .common import column, materialize
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
+ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, KEY_LEAST = 6, 20, 24, 20
 #: Base kinds in the order in which spans at one start are listed; then what the linking adds.
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
-# Weak parts of a credential; none is reported alone. An identifier and an endpoint are named by their context, a key by its mixture of characters.
+# Weak parts of a credential; none is reported alone. An identifier and an endpoint are named by their context, a key by its length and its mixture of characters, over the whole of it.
 WEAK_ID = r"""(?i:access_?key_?id|client_?id|user_?name|account|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)"""
-WEAK_KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,63}[0-9])(?=[A-Za-z0-9+/_=-]{0,63}[a-z])(?=[A-Za-z0-9+/_=-]{0,63}[A-Z])[A-Za-z0-9+/_=-]{20,}"
+WEAK_KEY, MIXTURE = r"[A-Za-z0-9+/_=-]+", ("[0-9]", "[a-z]", "[A-Z]")
 ENDPOINT = r"""(?i:https?|wss?|postgres|mysql|mongodb|redis|amqp|ftp)://[^\x20\x09-\x0D"'<>]+"""
 #: Parts are complementary if the gap between their starts is at most so many code points.
 SCOPE = 256
 
 
-def _matches(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
-    """Array of a pattern's leftmost matches that do not overlap: kind, nth, gap (length of the text since the last match), own (length), part (length of the group).
+def _matches(text: Column, kind: int, pattern: str, group: int = 0, mixture: tuple[str, ...] = ()) -> Column:
+    """Array of a pattern's leftmost matches that do not overlap: kind, nth, gap (length of the text since the last match), own (length), part (length of the group; 0 if
+    it lacks any of `mixture`).
 
     Offsets are running sums of these lengths, taken later by a window over the few rows of matches, which is linear for any text.
     """
     whole, part = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (0, group))
     gaps = F.split(text, pattern, -1)
+    mixed = lambda x: F.when(reduce(lambda a, m: a & x.rlike(m), mixture, F.lit(True)), F.length(x)).otherwise(F.when(x.isNotNull(), 0)) if mixture else F.length(x)
     found = F.transform(F.arrays_zip(gaps.alias("gap"), whole.alias("own"), part.alias("part")), lambda x, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("nth"), F.length(x["gap"]).alias("gap"), F.length(x["own"]).alias("own"), F.length(x["part"]).alias("part")))
+        F.lit(kind).alias("kind"), i.alias("nth"), F.length(x["gap"]).alias("gap"), F.length(x["own"]).alias("own"), mixed(x["part"]).alias("part")))
     return F.when(text.rlike(pattern), F.filter(found, lambda x: x["own"].isNotNull())).otherwise(F.array().cast("array<struct<kind:int,nth:int,gap:int,own:int,part:int>>"))
 
 
@@ -60,13 +64,13 @@ def scan(docs: DataFrame) -> DataFrame:
     Null counts as empty. Repeated rows each give a row, null ids too. An empty table gives an empty one.
     """
     text = F.coalesce(column(docs, "text", "string"), F.lit(""))
-    patterns = ((ASSIGN, 1), (rf"{ACCESS[:4]}[A-Z0-9]{{{ACCESS_LEAST - 4},}}", 0), (rf"(?<![0-9a-f]){HEX[:-1]}{{{HEX_LEAST},}}", 0), (WEAK_ID, 1), (WEAK_KEY, 0), (ENDPOINT, 0))
-    found = F.concat(*[_matches(text, k, p, g) for k, (p, g) in enumerate(patterns)])
+    patterns = ((ASSIGN, 1, ()), (rf"{ACCESS[:4]}[A-Z0-9]{{{ACCESS_LEAST - 4},}}", 0, ()), (rf"(?<![0-9a-f]){HEX[:-1]}{{{HEX_LEAST},}}", 0, ()), (WEAK_ID, 1, ()), (rf"{WEAK_KEY[:-1]}{{{KEY_LEAST},}}", 0, MIXTURE), (ENDPOINT, 0, ()))
+    found = F.concat(*[_matches(text, k, *p) for k, p in enumerate(patterns)])
     rows = materialize(docs.select(column(docs, "doc_id", "long").alias("doc_id"), F.xxhash64(text).alias("raw"), found.alias("found")))
     parts = rows.filter(F.size("found") > 0).dropDuplicates(["doc_id", "raw"]).select("doc_id", "raw", F.inline("found"))
     so_far = Window.partitionBy("doc_id", "raw", "kind").orderBy("nth")
     end = F.sum(F.col("gap") + F.col("own")).over(so_far)
-    parts = parts.withColumn("end", end).filter((F.col("kind") != 0) | (F.col("part") >= ASSIGN_LEAST)).select("doc_id", "raw", "kind", (F.col("end") - F.col("own")).alias("start"), "end")
+    parts = parts.withColumn("end", end).filter(F.when(F.col("kind") == 0, F.col("part") >= ASSIGN_LEAST).when(F.col("kind") == 4, F.col("part") >= KEY_LEAST).otherwise(True)).select("doc_id", "raw", "kind", (F.col("end") - F.col("own")).alias("start"), "end")
     parts = materialize(parts)
     base, kind = parts.filter("kind < 3"), lambda *k: parts.filter(F.col("kind").isin(*k))
     keys = materialize(_free(kind(4), base))

@@ -9,7 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from lodestone.llm import exact_dedup, mixing, queries, secrets, sharding, simhash, tokens
+from lodestone.llm import common, components, exact_dedup, mixing, queries, secrets, sharding, simhash, tokens
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -64,6 +65,19 @@ def test_curriculum_positions(spark):
     assert max(first) < 0.5 < min(second) and np.allclose(np.diff(sorted(first)), 0.005)
 
 
+def test_mix_reruns_agree(spark, monkeypatch):
+    """Ties of all kinds, half the rows without an id and a third of them alike: three row orders give one mix."""
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    rows = [(None, f"w {i % 7} x{i % 40}", "en", "a" if i % 3 else "b", i % 2) for i in range(60)] + [(None, "one same text", "en", "a", 5)] * 40 + [(i % 30, f"w {i % 30}", "de", "b", i) for i in range(100)]
+    want = None
+    for order in (rows, rows[::-1], rows[77:] + rows[:77]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, other int").repartition(1 + len(want or "") % 3)
+        found = [tuple(r) for r in mixing.mix(docs).collect()]
+        assert found == (want := want or found)
+    report = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, other int"))
+    assert report.count() == len(rows) and report.agg(F.sum("copies")).first()[0] == len(want)
+
+
 def test_mix_rows(docs, rows):
     found = mixing.mix(docs)
     assert found.columns == docs.columns
@@ -79,7 +93,7 @@ def normal(text):
 
 @pytest.mark.parametrize("hot", [1024, 8])
 def test_exact_dedup(docs, rows, hot, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     groups = defaultdict(list)
     for i, t, _, _ in rows:
         groups[normal(t)].append(i)
@@ -90,7 +104,8 @@ def test_exact_dedup(docs, rows, hot, monkeypatch):
     assert len(kept) == len(groups) == len({r.text_sha256 for r in kept}) and all(r.doc_id == r.keep_id for r in kept)
 
 
-def test_sharding(docs, rows):
+def test_sharding(docs, rows, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
     found = sharding.shard(docs).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in found) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _, _ in rows)
     assert {r.law for r in found} == {"rows"} and {r.grown_shard for r in found} == {None}
@@ -109,6 +124,44 @@ def test_sharding(docs, rows):
     assert large and all(len(g) <= 2 * -(-sum(g.values()) // room) for g in large), large
 
 
+@pytest.mark.parametrize("shards", [3, 24])
+def test_cut(spark, shards):
+    """The cut is that of all pairs, counted one by one, and near that of a greedy packing of whole groups."""
+    rng = np.random.default_rng(shards)
+    sizes = [*rng.integers(1, 9, 60).tolist(), 40, 25, 90]
+    rows = [(i, f"text of group {g}") for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    placed = sharding.place(spark.createDataFrame(rows, "doc_id long, text string"), [], shards).collect()
+    where = {r.doc_id: r.shard for r in placed}
+    brute = sum(a[1] == b[1] and where[a[0]] != where[b[0]] for i, a in enumerate(rows) for b in rows[:i])
+    state = spark.createDataFrame([(r.text_crc32, r.shard, 1) for r in placed], "_group long, shard int, n long")
+    assert sharding.cut_links(state) == brute
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    greedy = 0
+    for n in sorted(sizes, reverse=True):
+        parts, left = [], n
+        while left:
+            s = max(range(shards), key=room.__getitem__)
+            parts.append(min(left, room[s]))
+            room[s] -= parts[-1]
+            left -= parts[-1]
+        greedy += (n * n - sum(x * x for x in parts)) // 2
+    assert brute <= 1.25 * greedy + len(rows) / 4, (brute, greedy)
+
+
+def test_shards_keep_an_order(spark, tmp_path):
+    """Slots follow the order of the files and of the rows in them, and texts are carried; frames that are not read from files too."""
+    rows = [(i % 50, f"words of {i % 50} here", "en", "s", i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, Source string, size int")
+    docs.coalesce(1).sortWithinPartitions(F.col("size").desc()).write.option("maxRecordsPerFile", 30).parquet(str(tmp_path / "d"))
+    for df in (spark.read.parquet(str(tmp_path / "d")), docs.coalesce(1).orderBy(F.col("size").desc())):
+        found = sharding.shard_in_order(df, 7).collect()
+        assert sorted((r.position, r.doc_id, r.text) for r in found) == [(k, i, t) for k, (i, t, *_) in enumerate(rows[::-1])]
+        for s in range(7):
+            mine = sorted((r.slot, r.position) for r in found if r.shard == s)
+            assert [x for x, _ in mine] == list(range(len(mine))) and [x for _, x in mine] == sorted(x for _, x in mine)
+    assert sharding.shard_in_order(docs.limit(0)).count() == 0
+
+
 def brute_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -135,7 +188,8 @@ def brute_components(marks):
     return label
 
 
-def test_fingerprints_and_components(docs, rows):
+def test_fingerprints_and_components(docs, rows, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
     marks = [brute_fingerprint(t) for _, t, _, _ in rows]
     label = brute_components(set(marks))
     least = {}
@@ -151,10 +205,19 @@ def test_fingerprints_and_components(docs, rows):
     assert sorted(label[m] for m in kept) == sorted(set(label.values()))
 
 
-@pytest.mark.parametrize("block", [2048, 6])
-def test_links_of_crowded_cells(spark, block, monkeypatch):
-    """Chains and a dense cluster, in cells cut into blocks too."""
+def test_components_of_hubs(spark, monkeypatch):
+    """Stars, chains and cycles, with hubs that are hot."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    edges = [(500, i) for i in range(500, 530)] + [(i, i + 1) for i in range(100, 125)] + [(7, 8), (8, 9), (9, 7), (7, 8), (3, 3), (None, 1)] + [(125, 520)]
+    found = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == dict.fromkeys([*range(100, 126), *range(500, 530)], 100) | dict.fromkeys((7, 8, 9), 7) | {3: 3}
+
+
+@pytest.mark.parametrize(("block", "segment"), [(2048, 2), (25, 1), (6, 1)])
+def test_links_of_crowded_cells(spark, block, segment, monkeypatch):
+    """Chains and a dense cluster, in cells with a second grid and in blocks too."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SEGMENT", segment)
     monkeypatch.setattr(simhash, "BROADCAST_CELLS", 0 if block == 6 else 100)
     rng = np.random.default_rng(3)
     base = int(rng.integers(1 << 62))
@@ -176,7 +239,9 @@ def test_links_of_crowded_cells(spark, block, monkeypatch):
     assert {frozenset(x) for x in found.values()} == {frozenset(x) for x in want.values()}
 
 
-def test_embedding_bounds_the_distance():
+@pytest.mark.parametrize("segment", [1, 2, 4])
+def test_embedding_bounds_the_distance(segment, monkeypatch):
+    monkeypatch.setattr(simhash, "SEGMENT", segment)
     marks = np.random.default_rng(1).integers(0, 1 << 63, 200).astype(np.uint64)
     e = simhash.embed(marks).astype(int)
     for i in range(0, 200, 7):
@@ -201,6 +266,7 @@ SECRETS = [
     "0123456789abcdef0123456789abcdef g0123456789abcdef01234567", "token==abcdefghi password:x passwd = y.z/abc=", f"a lone key {KEY} here",
     f"client_id = svc-mail, key {KEY}", f"client_id = svc-mail {'far ' * 100} key {KEY}", "https://db.example.com/x and client_id=abc", f"https://db.example.com/x {KEY}",
     "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" at https://e.org", "AKIA" * 40, "token=" * 500,
+    f"client_id = x, key {'plainletters' * 20}{KEY}", f"client_id = x, key {'plainletters' * 20}",
 ]
 
 
@@ -217,6 +283,7 @@ def test_secrets(spark, docs, rows):
     assert all(base_spans(t) == ",".join(x for x in spans[i].split(",") if x.split(":")[0] in ("assign", "access", "hex")) for i, t, _, _ in texts if i is not None)
     added = [[x.split(":")[0] for x in spans[50_000 + i].split(",") if x and x.split(":")[0] in ("id", "key", "endpoint")] for i in range(len(SECRETS))]
     assert added[5:11] == [[], ["id", "key"], [], [], ["endpoint", "key"], ["endpoint"]]
+    assert added[13:] == [["id", "key"], []]  # the mixture of a key counts wherever in it that is
 
 
 def test_secret_sql(spark):
