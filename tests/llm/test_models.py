@@ -11,7 +11,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 import regex
-from lodestone.llm import chat, decontamination, language, queries, scoring
+from lodestone.llm import chat, common, decontamination, language, queries, scoring
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +24,8 @@ def shingle_set(text):
 
 @pytest.mark.parametrize("broadcast", [1_000_000, 0])
 def test_decontamination(spark, docs, rows, broadcast, monkeypatch):
-    monkeypatch.setattr(decontamination, "BROADCAST_INDEX", broadcast)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items += [(800, None), (801, ""), (802, "one"), (803, "short item"), (None, rows[3][1])]
     texts = [(i, t) for i, t, _, _ in rows]
@@ -45,6 +46,20 @@ def test_decontamination(spark, docs, rows, broadcast, monkeypatch):
     assert len(found) == len(want)
 
 
+def test_candidates_come_from_sketches(spark, docs, none):
+    """The first join sees rows of the sketches alone: without them nothing is a candidate, and an item's others find none."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    index = decontamination.item_index(items).cache()
+    sizes = index.groupBy("item_id").agg(F.first("n_shingles").alias("n"), F.sum(F.col("sketched").cast("int")).alias("k"), F.first("size_class").alias("c")).collect()
+    assert all(r.c == int(math.log2(r.n)) and r.k == min(r.n, math.floor((2 ** (r.c + 1) - 1) * 0.2 + 1e-9) + 1) for r in sizes) and sum(r.k for r in sizes) < 0.5 * index.count()
+    assert decontamination.candidates(docs, index.withColumn("sketched", F.lit(False))).count() == 0 < decontamination.candidates(docs, index).count()
+    one = next(r.item_id for r in sizes if r.n > 20)
+    words = items.filter(F.col("item_id") == one).first().text
+    short = spark.createDataFrame([(1, words), (2, " ".join(words.split()[:6]))], "doc_id long, text string")
+    assert {r._id for r in decontamination.candidates(short, index).filter(F.col("item_id") == one).collect()} == {1}  # the other is too short to hold enough of it
+    assert decontamination.leaks(none, items).count() == decontamination.leaks(docs, none.withColumn("item_id", F.col("doc_id"))).count() == 0
+
+
 def test_drop_leaks(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     leaked = {r.doc_id for r in decontamination.leaks(docs, items).collect()}
@@ -72,16 +87,67 @@ def test_language_edges(docs, rows):
     assert kept.columns == docs.columns and kept.count() == sum(bool(regex.search(r"\p{L}", t or "")) for _, t, _, _ in rows)
 
 
+def test_language_rejects(spark, docs, none):
+    """Texts that no learned language accounts for go; without labels, or without a text column, nothing goes for want of a model."""
+    odd = spark.createDataFrame([(70_000, "\u0439\u0446\u0443 \u043a\u0435\u043d \u0433\u0448\u0449", None, "en"), (70_001, "\u65e5\u672c\u8a9e", None, "en"), (70_002, "12 34", None, "en")], "doc_id long, text string, lang string, source string")
+    few = docs.select("doc_id", "text", "lang", "source")
+    assert [r.doc_id for r in language.drop_unknown(few.unionByName(odd)).filter("doc_id >= 70000").collect()] == []
+    bare = few.unionByName(odd).withColumn("lang", F.lit(None).cast("string"))
+    assert language.drop_unknown(bare).count() == few.unionByName(odd).filter(F.col("text").rlike(r"\p{L}")).count() > 200
+    assert language.drop_unknown(docs.drop("text")).count() == 0 and language.drop_unknown(docs.withColumnRenamed("text", "TEXT")).count() > 200
+    assert language.identify(none).count() == language.drop_unknown(none).count() == 0 and {r.lang_pred for r in language.identify(bare).collect()} == {"und"}
+
+
+def brute_language(counts, text):
+    """Word first, then shorter and shorter n-grams, by the definition: (language, probability, share of words that speak)."""
+    langs = sorted({k for k, _ in counts})
+    grams = [None] + [Counter() for _ in range(4)]
+    for (k, w), n in counts.items():
+        for size in range(1, 5):
+            for i in range(len(w) + 3 - size):
+                grams[size][k, f" {w} "[i : i + size]] += n
+    log = lambda table, k, x: math.log((table[k, x] + 0.5) / (sum(n for (j, _), n in table.items() if j == k) + 0.5 * len({y for _, y in table})))
+    words = regex.findall(r"\p{L}+", text.lower())
+    total, spoke = dict.fromkeys(langs, 0.0), 0
+    for w in words:
+        if any((k, w) in counts for k in langs):
+            spoke += 1
+            for k in langs:
+                total[k] += log(counts, k, w)
+            continue
+        for size in range(4, 0, -1):
+            found = [g for i in range(len(w) + 3 - size) if any((k, g := f" {w} "[i : i + size]) in grams[size] for k in langs)]
+            if found:
+                spoke += size >= 3
+                for k in langs:
+                    total[k] += sum(log(grams[size], k, g) for g in found) / len(found) + (5 - size) * math.log(0.4)
+                break
+    top = max(langs, key=total.get)
+    return top, 1 / sum(math.exp(total[k] - total[top]) for k in langs), spoke / len(words)
+
+
+def test_language_against_brute_force(spark):
+    train = [("the cat and the dog", "en"), ("a dog is here", "en"), ("der hund und die katze", "de"), ("ein hund ist hier", "de")]
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, *x) for i, x in zip(ids, train, strict=False)] + [(1000 + i, t, None) for i, t in enumerate(["dog und", "cats are herd", "hunde sind heiter", "x", "the hund ist dogs qq"])]
+    counts = Counter((k, w) for t, k in train for w in t.split())
+    found = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        lang, score, evidence = brute_language(counts, t)
+        r = found[i]
+        assert (r.lang_pred, round(r.score, 4), round(r.evidence, 9)) == (lang, round(score, 4), round(evidence, 9)), (t, r)
+
+
 def test_language_backs_off(monkeypatch):
     model = language.LanguageModel([("de", "ungen", 5), ("de", "und", 9), ("en", "tion", 5), ("en", "und", 1)])
-    assert [x for x, _ in model.predict(["und und", "xxtion", "qungen", None, "12"])] == ["de", "en", "de", "und", "und"]  # words, n-grams of unseen words, no letters
+    assert [x for x, _, _ in model.predict(["und und", "xxtion", "qungen", None, "12"])] == ["de", "en", "de", "und", "und"]  # words, n-grams of unseen words, no letters
     for _ in range(2):
-        assert (model.score_words(["und"])[0] == model.word_logs[model.words["und"]]).all()
-        one, other = model.score_words(["\u0439\u0439\u0439", "\u0436\u0436\u0436"])
+        assert (model.score_words(["und"])[0][0] == model.word_logs[model.words["und"]]).all()
+        one, other = model.score_words(["\u0439\u0439\u0439", "\u0436\u0436\u0436"])[0]
         assert one.tolist() == other.tolist() == model.gram_logs[model.grams[" "]].tolist()  # only the word borders are known
         monkeypatch.setattr(language, "KEPT", 1)
     assert model.predict(["und tion a", "b"]) == model.predict(["und tion a", "b"])
-    assert language.LanguageModel([]).predict(["abc", None]) == [("und", 0.0)] * 2
+    assert language.LanguageModel([]).predict(["abc", None]) == [("und", 0.0, 0.0)] * 2
 
 
 def brute_ppm(train, texts, order=scoring.ORDER):
@@ -182,6 +248,14 @@ def test_chat_round_trip(spark):
     assert chat.chat_report(rows.limit(0)).count() == 0
 
 
+def test_chats_without_ids(spark):
+    """Records without an id are conversations of their own, whatever table they come from; a long text survives."""
+    rows = spark.createDataFrame([(None, 0, "assistant", "x"), (None, 0, "assistant", "x"), (None, 1, "user", "y"), (4, 0, "assistant", "<|" * 300_000)], "conv_id long, turn long, role string, text string")
+    pairs = spark.createDataFrame([("q", "a"), ("q", "b")], "prompt string, response string")
+    found = sorted((r.conv_id is None, r.n_turns, r.loss_chars) for r in chat.chat_report(rows, pairs).collect())
+    assert found == [(False, 1, 600_000), (True, 1, 0), (True, 1, 1), (True, 1, 1), (True, 2, 1), (True, 2, 1)]
+
+
 def test_chat_layouts(spark):
     typed = {
         "messages": ("conv_id long, messages array<struct<role:string,content:string>>", [(1, [("human", "q"), ("assistant", "a")])]),
@@ -204,7 +278,16 @@ def test_chat_json_records(spark):
         {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, {"else": 1},
     ]
     records = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(lines)] + [(6, "{broken"), (7, None)], "conv_id long, record string")
+    more = [
+        {"prompt": "q", "response": "a", "source": {"output": "x"}}, {"instruction": "q", "output": "a", "score": 3}, {"instruction": "q", "input": "", "output": "a", "n": [1]}, {"prompt": "q", "response": "a", "completion": "b"},
+        {"messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a"}], "topic": None}, {"messages": "text"}, {"messages": []}, [1], {"prompt": "w " * 200_000, "response": None},
+    ]
+    records = records.unionByName(spark.createDataFrame([(10 + i, json.dumps(x)) for i, x in enumerate(more)], "conv_id long, record string"))
+    assert chat.canonical_json(records.limit(0)).count() == chat.canonical_json(records.drop("record")).filter("layout is not null").count() == 0
     found = {r.conv_id: (r.layout, r.turns and [tuple(t) for t in r.turns]) for r in chat.canonical_json(records).collect()}
+    extra = [found.pop(10 + i) for i in range(len(more))]
+    assert [x for x, _ in extra] == ["prompt", "instruction", "instruction_input", None, "messages", None, None, None, "prompt"]
+    assert all(x == [("user", "q"), ("assistant", "a")] for n, x in extra[:8] if n) and extra[8][1] == [("user", "w " * 200_000), ("assistant", "")]
     plain = [("user", "q"), ("assistant", "a")]
     assert found == {0: ("prompt", plain), 1: ("instruction", plain), 2: ("instruction_input", [("user", "q\n\nmore"), plain[1]]), 3: ("messages", plain), 4: ("conversations", plain), 5: (None, None), 6: (None, None), 7: (None, None)}
 
