@@ -23,6 +23,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     text = F.regexp_replace(F.coalesce(column(docs, "text", "string"), F.lit("")), f"{SPACE}+", " ")
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), text.alias("_text"), F.xxhash64(column(docs, "text", "string")).alias("_raw")).withColumn("text_sha256", F.sha2("_text", 256))
+    rows = materialize(rows)  # normalised and hashed once; counts, splitters and the sort read this
     most = common.hot_limit(rows.count())
     counts = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.filter(F.col("_n") > most).select("text_sha256", F.ceil(F.col("_n") / most).alias("_salts"))  # at most common.HOT_VALUES rows
