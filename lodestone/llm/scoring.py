@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import io
 import math
+import mmap
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import column, materialize
+from .common import column, materialize, scratch
 
 #: Bytes of context.
 ORDER = 5
 #: One document in FOLDS is held out: that whose crc32 of the id leaves HELD.
 FOLDS, HELD = 7, 2
 #: Most words whose counts are broadcast, the most frequent; the counts of all others are joined by shuffle.
-HEAD = 200_000
+HEAD = 65_536
 #: Words and n-grams that a task gathers before it passes them on, and bytes that are scored at once.
-GATHERED, GRAMS, PIECE = 200_000, 500_000, 1 << 19
-#: Paths of the trie (about 32 bytes each) that a worker holds at once; a larger model is used slice by slice.
+GATHERED, GRAMS, PIECE = 200_000, 500_000, 1 << 20
+#: Paths of a slice of the trie, about: what one task builds at once.
 SLICE = 1_000_000
 
 
@@ -178,24 +182,103 @@ class ByteModel:
         out[open_] += self.unseen
         return out
 
-    def score(self, texts: list[bytes], ends: np.ndarray | None = None) -> np.ndarray:
-        """log10 probability of each text; ends: only of the bytes that come after one of these pairs of bytes (a truth value for each)."""
+    @classmethod
+    def of(cls, levels: list[dict], unseen: float) -> ByteModel:
+        """A model from arrays that were written."""
+        out = cls.__new__(cls)
+        out.levels, out.unseen = levels, unseen
+        return out
+
+
+#: The arrays of a level of the trie, as they follow each other in a slice's file.
+ARRAYS = ("keys", "contexts", "seen", "count", "escape", "left", "rest")
+
+
+def dump(model: ByteModel, out) -> None:
+    """Write a model's arrays, each at a multiple of 64 bytes."""
+    at = 0
+    for array in [np.array([model.unseen]), *[level.get(name, np.empty(0, np.float32)) for level in model.levels for name in ARRAYS]]:
+        part = io.BytesIO()
+        np.save(part, array)
+        data = part.getvalue()
+        out.write(data + bytes(-len(data) % 64))
+        at += len(data)
+
+
+def load(data: mmap.mmap | bytes) -> ByteModel:
+    """A model whose arrays lie in these bytes; nothing is copied."""
+    file, arrays = data if isinstance(data, mmap.mmap) else io.BytesIO(data), []
+    file.seek(0)
+    while file.tell() < len(data):
+        np.lib.format.read_magic(file)
+        (n,), _, kind = np.lib.format.read_array_header_1_0(file)
+        arrays.append(np.frombuffer(data, kind, n, file.tell()))
+        end = file.tell() + n * kind.itemsize
+        file.seek(end + -end % 64)
+    levels = [dict(zip(ARRAYS, arrays[1 + i : 1 + i + len(ARRAYS)], strict=True)) for i in range(0, len(arrays) - 1, len(ARRAYS))]
+    return ByteModel.of([{k: x for k, x in level.items() if len(x) or k not in ("left", "rest")} for level in levels], float(arrays[0][0]))
+
+
+def store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a qualified path, for Python on any executor, and the path there."""
+    if folder.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(folder)
+
+
+class Trie:
+    """The slices of a trie in the shared folder. Each has the contexts that end in certain pairs of bytes, so one slice scores a byte.
+
+    Where the folder is a mounted one, slices are mapped into memory read-only, and the system keeps what is in use; from other stores one slice at a time is read.
+    """
+
+    def __init__(self, folder: str, names: list[str], group: np.ndarray, unseen: float):
+        """names: the file of each slice; group: the slice of each of the 65,536 pairs of bytes, -1 for none."""
+        self.folder, self.names, self.group, self.unseen, self.open = folder, names, group, unseen, {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"open": {}}
+
+    def model(self, part: int) -> ByteModel:
+        if part not in self.open:
+            files, folder = store(self.folder)
+            if isinstance(files, pafs.LocalFileSystem):
+                with open(f"{folder}/{self.names[part]}", "rb") as f:
+                    self.open[part] = load(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+            else:
+                with files.open_input_stream(f"{folder}/{self.names[part]}") as f:
+                    self.open = {part: load(f.read())}
+        return self.open[part]
+
+    def log10(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each path after the bytes before it. A pair that the trie has not seen leaves but order 0 and 1: any slice has these."""
+        out = np.full(len(grams), self.unseen)
+        if not self.names:
+            return out
+        part = self.group[(grams >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)]
+        order = np.argsort(part, kind="stable")
+        ends = np.flatnonzero(np.append(part[order][1:] != part[order][:-1], True)) + 1
+        for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+            if b > a:
+                out[order[a:b]] = self.model(max(0, int(part[order[a]]))).log10(grams[order[a:b]])
+        return out
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """log10 probability of each text. There is no end symbol: it is the probability that a text begins so."""
         out = np.zeros(len(texts))
         for data, owner in _buffers(texts):
             own = owner[ORDER:] >= 0
-            if ends is not None:
-                own &= ends[data[ORDER - 2 : -2].astype(np.int64) << 8 | data[ORDER - 1 : -1]]
             grams, at = np.unique(_grams(data)[own], return_inverse=True)
             out += np.bincount(owner[ORDER:][own], self.log10(grams)[at], len(texts))
         return out
 
 
-def slices(paths: DataFrame, most: int = SLICE) -> Iterator[tuple[np.ndarray | None, ByteModel]]:
-    """(ends, model) from the paths (gram, n) of a trie: models of about `most` paths at most, and what each is for.
+def build(paths: DataFrame, most: int = SLICE) -> Trie:
+    """The trie of paths (gram, n): executors build its slices of about `most` paths and write them to the shared folder.
 
-    A model has all contexts that end in one of the pairs of bytes `ends` (None: in any), so each byte of a text is scored by one of them. The driver reads one slice at
-    a time, and of the whole trie only what there is for each pair of bytes: 65,536 rows at most.
+    Of the whole trie the driver sees what there is for each pair of bytes, 65,536 rows at most, and the names of the slices. A pair is in one slice.
     """
+    spark = paths.sparkSession
 
     def by_pair(pair, measure):
         out = np.zeros(1 << 16)
@@ -206,19 +289,27 @@ def slices(paths: DataFrame, most: int = SLICE) -> Iterator[tuple[np.ndarray | N
     pairs = by_pair(F.col("gram").bitwiseAND(0xFFFF), F.sum("n"))
     end = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
     sizes = by_pair(end, F.count(F.lit(1)))
-    read = lambda rows: [rows.column(k).to_numpy().astype(t) for k, t in ((0, np.uint64), (1, np.float64))]
     parts = max(1, -(-int(sizes.sum()) // most))
-    if parts == 1:
-        yield None, ByteModel(*read(paths.select("gram", "n").toArrow()), pairs)
-        return
-    group, held = np.full(1 << 16, -1), np.zeros(parts)
-    for pair in np.argsort(-sizes):  # the largest first, each to the part that holds least
+    group, held = np.full(1 << 16, -1, np.int32), np.zeros(parts)
+    for pair in np.argsort(-sizes)[: np.count_nonzero(sizes)]:  # the largest first, each to the part that holds least
         group[pair] = held.argmin()
-        held[group[pair]] += max(sizes[pair], 1)
-    table = paths.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(group) if sizes[i]], "pair int, part int")
-    dealt = paths.join(F.broadcast(table), end.cast("int") == F.col("pair"))
-    for i in range(parts):
-        yield group == i, ByteModel(*read(dealt.filter(F.col("part") == i).select("gram", "n").toArrow()), pairs)
+        held[group[pair]] += sizes[pair]
+    p = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    folder = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+    def built(table: pa.Table) -> pa.Table:
+        model = ByteModel(table["gram"].to_numpy().astype(np.uint64), table["n"].to_numpy().astype(np.float64), pairs)
+        files, path = store(folder)
+        files.create_dir(path, recursive=True)
+        name = uuid.uuid4().hex  # another attempt of the task writes another file, and one of them is named
+        with files.open_output_stream(f"{path}/{name}") as out:
+            dump(model, out)
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "name": [name]})
+
+    table = spark.createDataFrame([(i, int(g)) for i, g in enumerate(group) if g >= 0], "pair int, part int")
+    dealt = paths.join(F.broadcast(table), end.cast("int") == F.col("pair")).select("part", "gram", "n")
+    names = dict(dealt.groupBy("part").applyInArrow(built, "part int, name string").collect())
+    return Trie(folder, [names[i] for i in range(len(names))], group, -math.log10(256))
 
 
 def score(docs: DataFrame, head: int = HEAD, paths: int = SLICE) -> DataFrame:
@@ -227,7 +318,7 @@ def score(docs: DataFrame, head: int = HEAD, paths: int = SLICE) -> DataFrame:
     Every row that is not held out is learned from, whole; null texts count as empty, and rows with null ids are not held out. Tokens are words, A-Z
     lowered, and one end; base_score is their unigram score with one added to each count. score is the byte model's log10 probability of the text. Repeated rows are learned
     from each time. The counts of the most frequent words (`head` of them at most) are broadcast; the documents' other words are joined to the counts of all words.
-    Without rows to learn from, counts are 0. An empty table gives an empty one.
+    Without rows to learn from, counts are 0. An empty table gives an empty one. paths: how many paths of the trie a task builds at once, about.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -247,22 +338,16 @@ def score(docs: DataFrame, head: int = HEAD, paths: int = SLICE) -> DataFrame:
         least = k
     is_head = F.floor(F.log2("n") * 4) >= least
     known = spark.sparkContext.broadcast({bytes(r[0]): math.log10(r[1] + 1) for r in words.filter(is_head).toLocalIterator()})
-    tables = [spark.sparkContext.broadcast(x) for x in slices(counts.filter("gram >= 0").select("gram", "n"), paths)]
+    trie = spark.sparkContext.broadcast(build(counts.filter("gram >= 0").select("gram", "n"), paths))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, names = TaskContext.get().partitionId() << 40, ["row", "doc_id", "held_out", "n_words", "n_head", "head_score", "score", "tail", "tail_n"]
         of = known.value
         for batch in batches:
-            marks = np.zeros(batch.num_rows)
-            for table in tables:
-                ends, model = table.value
-                for i in range(0, batch.num_rows, 512):
-                    marks[i : i + 512] += model.score([(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).slice(i, 512).to_pylist()], ends)
-                if len(tables) > 1:
-                    del table._value, model  # one slice at a time; it is read again from the worker's file
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 texts = [(x or "").encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
+                marks = trie.value.score(texts)
                 n, n_head, logs, tail, tail_n = [], [], [], [], []
                 for x in texts:
                     found = words_of(x)
@@ -274,7 +359,7 @@ def score(docs: DataFrame, head: int = HEAD, paths: int = SLICE) -> DataFrame:
                     tail_n.append([found[w] for w in tail[-1]])
                 ids = np.arange(row, row + len(texts))
                 row += len(texts)
-                columns = [pa.array(ids), part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(n_head, pa.int64()), pa.array(logs, pa.float64()), pa.array(marks[i : i + 512]), pa.array(tail, pa.list_(pa.binary())), pa.array(tail_n, pa.list_(pa.int64()))]
+                columns = [pa.array(ids), part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(n_head, pa.int64()), pa.array(logs, pa.float64()), pa.array(marks), pa.array(tail, pa.list_(pa.binary())), pa.array(tail_n, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = "row long, doc_id long, held_out boolean, n_words long, n_head long, head_score double, score double, tail array<binary>, tail_n array<long>"

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,8 +13,11 @@ import numpy as np
 import pytest
 import regex
 from lodestone.llm import chat, common, decontamination, language, queries, scoring
+from lodestone.llm.common import materialize_stage
 from pyspark.sql import functions as F
 
+from test_documents import brute_components, brute_fingerprint, size_of, targets
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -198,12 +202,26 @@ def test_scoring_probabilities_add_up(spark):
     text = b"abracadabra abracadabra"
     found = np.unique(scoring._grams(np.frombuffer(bytes(scoring.ORDER) + text, np.uint8)), return_counts=True)
     paths = spark.createDataFrame([(int(g), int(n)) for g, n in zip(*found, strict=True)], "gram long, n long")
-    ((_, model),) = scoring.slices(paths)
+    model = scoring.build(paths)
+    assert len(model.names) == 1
     for start in (b"abr", b"zzz", b"aab", b"", b"abracad", b"cadab"):
         own = model.score([start])[0]
         assert math.isclose(sum(10 ** (x - own) for x in model.score([start + bytes([k]) for k in range(256)])), 1, rel_tol=1e-4)
-    parts = list(scoring.slices(paths, 5))
-    assert len(parts) > 3 and np.allclose(sum(m.score([text, b"xyz", b""], ends) for ends, m in parts), model.score([text, b"xyz", b""]), atol=1e-5)
+    parts = scoring.build(paths, 5)
+    texts = [text, b"xyz", b"", b"zzab"]
+    assert len(parts.names) > 3 and np.allclose(parts.score(texts), model.score(texts), atol=1e-5)
+
+
+def test_slices_are_read_from_stores_too(spark, monkeypatch):
+    """A slice that can't be mapped is read whole, one at a time, and gives the same; the driver holds names alone."""
+    paths = spark.createDataFrame([(i * 7919 % (1 << 20), 1 + i % 5) for i in range(3000)], "gram long, n long")
+    trie = scoring.build(paths, 500)
+    grams = np.arange(0, 1 << 20, 997, dtype=np.uint64)
+    want = trie.log10(grams)
+    real = scoring.store
+    monkeypatch.setattr(scoring, "store", lambda folder: (scoring.pafs.SubTreeFileSystem("/", real(folder)[0]), real(folder)[1]))
+    other = pickle.loads(pickle.dumps(trie))
+    assert np.array_equal(other.log10(grams), want) and len(other.open) == 1 < len(trie.open) and not other.__getstate__()["open"]
 
 
 def test_scoring_beats_the_baseline(spark):
@@ -308,18 +326,35 @@ def test_oracles(spark):
         pd.testing.assert_frame_equal(found.sort_values(order).reset_index(drop=True), want.sort_values(order).reset_index(drop=True), check_dtype=False, rtol=1e-12)
 
 
-def test_pipeline(spark, docs):
-    stages = dict(corpus_pipeline.STAGES)
-    rows = spark.read.parquet(f"{SF}/documents.parquet")
-    at, before = rows, None
-    for name, stage in corpus_pipeline.STAGES:
-        before, at = at, stage(spark, at, SF)
-        if name != "sharding":
-            assert at.columns == rows.columns
-        if name in ("language_id", "near_dedup", "decontamination"):
-            assert 0 < at.count() <= before.count()
-    assert at.count() == before.count()
-    assert corpus_pipeline.run(spark, SF).count() == at.count()
-    for stage in stages.values():
-        stage(spark, docs, SF).count()
-        stage(spark, docs.limit(0), SF).count()
+def test_pipeline(spark, docs, none):
+    """From end to end against plain Python: languages, components, leaks, targets and shards of what the stage before has left."""
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    stage = dict(corpus_pipeline.STAGES)
+    at, left = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    for name in ("language_id", "near_dedup", "decontamination", "mixing"):
+        at = materialize_stage(lambda name=name, at=at: stage[name](spark, at, SF))
+        assert at.columns == spark.read.parquet(f"{SF}/documents.parquet").columns
+        left[name] = at.collect()
+        assert all(r == rows[r.doc_id] for r in left[name])
+    ids = {name: [r.doc_id for r in found] for name, found in left.items()}
+    assert sorted(ids["language_id"]) == sorted(i for i, r in rows.items() if regex.search(r"\p{L}", r.text or ""))
+    marks = {i: brute_fingerprint(rows[i].text) for i in ids["language_id"]}
+    label = brute_components(set(marks.values()))
+    assert sorted(ids["near_dedup"]) == sorted({label[m]: i for i, m in sorted(marks.items(), reverse=True)}.values())
+    items = [x for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (x := shingle_set(r.text))]
+    assert sorted(ids["decontamination"]) == sorted(i for i in ids["near_dedup"] if not any(len(x & shingle_set(rows[i].text)) >= 0.8 * len(x) - 1e-9 for x in items))
+    clean = [(i, rows[i].text, None, rows[i].source) for i in ids["decontamination"]]
+    sizes, target = targets(clean)
+    taken = Counter(ids["mixing"])
+    for s in sizes:
+        words = sum(size_of(rows[i].text) * n for i, n in taken.items() if rows[i].source == s)
+        assert abs(words - target[s]) <= max(size_of(t) for _, t, _, x in clean if x == s) / 2 + 1 and max(taken.values()) <= 2
+    found = corpus_pipeline.run(spark, SF).collect()
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.position)] == ids["mixing"]  # the order of training goes on
+    assert all(r.text == rows[r.doc_id].text and r.text_crc32 == zlib.crc32(r.text.encode()) for r in found) and len({(r.shard, r.slot) for r in found}) == len(found)
+    for k in range(24):
+        mine = sorted((r.slot, r.position) for r in found if r.shard == k)
+        assert abs(len(mine) - len(found) / 24) < 1 and [x for x, _ in mine] == list(range(len(mine))) and [x for _, x in mine] == sorted(x for _, x in mine)
+    for f in stage.values():
+        f(spark, docs, SF).count()
+        assert f(spark, none, SF).count() == 0
