@@ -5,12 +5,9 @@ All run over whole tables. Sums and means are rounded, as their last digits depe
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from . import fixture_tree
 from .engine import Engine
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations", "benchmark")
@@ -231,46 +228,16 @@ def _run(query: str):
     return run
 
 
-def _tree() -> str:
-    """A small file tree to scan."""
-    top = tempfile.mkdtemp(prefix="lodestone-tree-")
-    for path, text in (("a.txt", "one\ntwo\n"), ("b/c.py", "#!/usr/bin/python\nprint(1)\n"), ("b/d/e.log", "x" * 3000), ("b/d/.hidden", ""), ("f.PNG", "")):
-        full = os.path.join(top, path)
-        os.makedirs(os.path.dirname(full), exist_ok=True)
-        with open(full, "w") as f:
-            f.write(text)
-    with open(os.path.join(top, ".gitignore"), "w") as f:
-        f.write("*.log\n")
-    with zipfile.ZipFile(os.path.join(top, "z.zip"), "w") as z:
-        z.writestr("in/side.txt", "inside")
-    os.symlink("b", os.path.join(top, "link"))
-    os.makedirs(os.path.join(top, "empty"))
-    return top
-
-
-FILE_QUERIES = {
-    "fs_scan": "name, size, mode, modified, is_dir from '{}' order by path",
-    "fs_depth": "path from '{}' mindepth 2 maxdepth 2 order by path",
-    "fs_symlinks": "path, is_symlink, link_target from '{}' symlinks order by path",
-    "fs_ignore": "path from '{}' gitignore order by path",
-    "fs_archives": "path, size from '{}' archives where is_file order by path",
-    "fs_depth_first": "path from '{}' dfs",
-    "fs_contents": "path, line_count, sha256, mime, is_shebang from '{}' where size > 0 and is_file order by path",
-    "fs_empty": "path from '{}' where is_empty order by path",
-    "fs_extensions": "ext, count(*) as n from '{}' group by ext order by 1",
-}
-
-
 def _files(query: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Engine(spark).sql(query.format(_tree()))
+        return Engine(spark).sql(query.replace("{}", fixture_tree.fixture(spark)))
 
     return run
 
 
 def queries() -> dict:
-    return {n: _run(query) for n, (query, _) in QUERIES.items()} | {n: _files(query) for n, query in FILE_QUERIES.items()}
+    return {n: _run(query) for n, (query, _) in QUERIES.items()} | {n: _files(query) for n, (query, _) in fixture_tree.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: sql for n, (_, sql) in QUERIES.items() if sql}
+    return {n: sql for n, (_, sql) in (QUERIES | fixture_tree.QUERIES).items() if sql}

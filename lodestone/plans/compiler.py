@@ -396,7 +396,7 @@ class Compiler:
             vs = [self.value(x, env) for x, _ in items] + [self.value(x, env) for x in order]
             if env.errors:
                 df = df.filter(both([~e for e in env.errors]))
-            seq = scope.values["_seq"].col if scope.is_file and "_seq" in scope.values else F.lit(0).cast("bigint")
+            seq = scope.values["_seq"].col if scope.is_file and "_seq" in scope.values else F.lit("")
             df = df.withColumn("_tie", seq)
             frames.append((df, vs))
             shown = shown or items

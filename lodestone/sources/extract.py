@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import mmap
 import os
 import re
 import struct
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 from ..plans.values import BOOL, FLOAT, INT, TIME
 
 BLOCK = 1 << 16
-#: Bytes of a file's start in which media headers are looked for.
-HEAD = 1 << 20
 
 _SPARK = {INT: "long", FLOAT: "double", BOOL: "boolean", TIME: "timestamp_ntz"}
 FILE_FUNCTIONS: dict = {}
@@ -162,11 +161,17 @@ def is_shebang(name, path):
     return _head(path, 2) == b"#!"
 
 
-def _head(path: str, n: int = HEAD) -> bytes:
+def _head(path: str, n: int) -> bytes:
     with open(path, "rb") as f:
         return f.read(n)
 
 
+def _view(path: str) -> mmap.mmap:
+    """All bytes of a file, mapped: only what is looked at is read, wherever in the file it lies. Empty files can't be mapped (ValueError)."""
+    with open(path, "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+
 # Marks at the start of files of known types.
 MAGIC = (
     (b"\x89PNG\r\n\x1a\n", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF8", "image/gif"), (b"BM", "image/bmp"), (b"II*\0", "image/tiff"), (b"MM\0*", "image/tiff"), (b"%PDF-", "application/pdf"),
@@ -190,9 +195,12 @@ def mime(name, path):
     if found := next((m for k, m in MAGIC if start.startswith(k)), None):
         return found
     guess = mimetypes.guess_type(path)[0]
-    if b"\0" in start:
+    if not start:
+        return guess if guess and guess.startswith("text/") else "application/x-zerosize"
+    data = _view(path)
+    if data.find(b"\0") >= 0:
         return guess if guess and not guess.startswith("text/") else "application/octet-stream"
-    return guess if guess and guess.startswith("text/") else "text/html" if re.match(rb"\s*<(!doctype html|html)", start, re.I) else "image/svg+xml" if b"<svg" in start[:1024] else "text/plain" if start else "application/x-zerosize"
+    return guess if guess and guess.startswith("text/") else "text/html" if re.match(rb"\s*<(!doctype html|html)", start, re.I) else "image/svg+xml" if start.lstrip()[:1] == b"<" and data.find(b"<svg") >= 0 else "text/plain"
 
 
 @reads("is_text", "is_binary")
@@ -375,15 +383,15 @@ def git(name, path):
 # Images, video and audio
 
 
-def image_size(data: bytes) -> tuple[int, int] | None:
-    if data.startswith(b"\x89PNG"):
+def image_size(data: bytes | mmap.mmap) -> tuple[int, int] | None:
+    if data[:4] == b"\x89PNG":
         return struct.unpack(">II", data[16:24])
-    if data.startswith(b"GIF8"):
+    if data[:4] == b"GIF8":
         return struct.unpack("<HH", data[6:10])
-    if data.startswith(b"BM"):
+    if data[:2] == b"BM":
         w, h = struct.unpack("<ii", data[18:26])
         return w, abs(h)
-    if data.startswith(b"\xff\xd8"):
+    if data[:2] == b"\xff\xd8":
         at = 2
         while at + 9 < len(data):
             mark, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
@@ -402,8 +410,8 @@ def image_size(data: bytes) -> tuple[int, int] | None:
     if data[:4] in (b"II*\0", b"MM\0*"):
         tags = tiff_tags(data)
         return (tags[256][0], tags[257][0]) if 256 in tags and 257 in tags else None
-    if b"<svg" in data[:4096]:
-        tag = re.search(rb"<svg[^>]*>", data, re.S)[0].decode("utf-8", "replace")
+    if data[:256].lstrip(b"\xef\xbb\xbf \t\r\n")[:1] == b"<" and (found := re.search(rb"<svg[^>]*>", data, re.S)):
+        tag = found[0].decode("utf-8", "replace")
         w, h = (re.search(rf"\b{n}\s*=\s*[\"']([\d.]+)", tag) for n in ("width", "height"))
         if w and h:
             return int(float(w[1])), int(float(h[1]))
@@ -428,24 +436,9 @@ def _boxes(data: bytes, start: int, end: int):
 
 def mp4_facts(path: str) -> dict:
     """Width, height and seconds of an MP4, from its moov box wherever that is."""
-    out: dict = {}
-    with open(path, "rb") as f:
-        at, end = 0, os.path.getsize(path)
-        while at + 8 <= end:
-            f.seek(at)
-            size, kind = struct.unpack(">I4s", f.read(8))
-            if size == 1:
-                size = struct.unpack(">Q", f.read(8))[0]
-            if kind == b"moov":
-                f.seek(at)
-                data = f.read(min(size or end - at, 64 << 20))
-                break
-            if size < 8:
-                return out
-            at += size
-        else:
-            return out
-    for kind, a, b in _boxes(data, 8, len(data)):
+    out, data = {}, _view(path)
+    moov = next(((a, b) for kind, a, b in _boxes(data, 0, len(data)) if kind == b"moov"), (0, 0))
+    for kind, a, b in _boxes(data, *moov):
         if kind == b"mvhd":
             scale, length = struct.unpack(">IQ", data[a + 20 : a + 32]) if data[a] else struct.unpack(">II", data[a + 12 : a + 20])
             out["duration"] = int(length / scale)
@@ -459,7 +452,7 @@ def mp4_facts(path: str) -> dict:
 
 
 def mkv_facts(data: bytes) -> dict:
-    """Width, height and seconds of a Matroska file, from the elements in its start."""
+    """Width, height and seconds of a Matroska file, from its elements; what holds the pictures is passed over."""
     out, scale = {}, 1_000_000
 
     def number(at, keep):
@@ -494,10 +487,10 @@ def mkv_facts(data: bytes) -> dict:
 
 @reads("width", "height")
 def dimension(name, path):
-    data = _head(path)
+    data = _view(path)
     if data[4:8] == b"ftyp":
         return mp4_facts(path).get(name)
-    if data.startswith(b"\x1aE\xdf\xa3"):
+    if data[:4] == b"\x1aE\xdf\xa3":
         return mkv_facts(data).get(name)
     found = image_size(data)
     return found and int(found[name == "height"])
@@ -516,14 +509,14 @@ def _id3_text(body: bytes) -> str:
 
 @lru_cache(8)
 def audio_facts(path: str, stamp: int) -> dict:
-    data, out, at = _head(path), {}, 0
+    data, out, at = _view(path), {}, 0
     if data[:4] == b"RIFF" and data[8:12] == b"WAVE":
         import wave
 
         with wave.open(path) as w:
             rate = w.getframerate()
             return {"freq": rate, "duration": w.getnframes() // rate, "bitrate": rate * w.getsampwidth() * 8 * w.getnchannels() // 1000}
-    if data.startswith(b"ID3"):
+    if data[:3] == b"ID3":
         size = sum(b << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
         frames, i = {}, 10
         while i + 10 < min(10 + size, len(data)) and data[i]:
@@ -536,8 +529,8 @@ def audio_facts(path: str, stamp: int) -> dict:
             if body:
                 out[name] = _id3_text(body if key != "COMM" else body[:1] + body[4:]).rpartition("\0")[2]
         at = 10 + size
-    while at + 4 <= len(data) and not (data[at] == 0xFF and data[at + 1] & 0xE0 == 0xE0):
-        at += 1
+    found = re.compile(rb"\xff[\xe0-\xff]").search(data, at)
+    at = found.start() if found else len(data)
     if at + 4 <= len(data):
         version = data[at + 1] >> 3 & 3
         rate, freq = MP3_RATES[3 if version == 3 else 2][data[at + 2] >> 4], MP3_FREQUENCIES[version][data[at + 2] >> 2 & 3]
@@ -555,7 +548,7 @@ def audio(name, path):
     if name == "duration" and head[4:8] == b"ftyp":
         return mp4_facts(path).get(name)
     if name == "duration" and head.startswith(b"\x1aE\xdf\xa3"):
-        return mkv_facts(_head(path)).get(name)
+        return mkv_facts(_view(path)).get(name)
     if not (head.startswith((b"ID3", b"RIFF")) or head[:1] == b"\xff" and head[1] & 0xE0 == 0xE0):
         return None
     return audio_facts(path, os.stat(path).st_mtime_ns).get(name)
@@ -572,6 +565,8 @@ EXIF = {
     "exif_max_aperture": 37381, "exif_digital_zoom": 41988,
 }
 GPS = {"exif_latitude": (1, 2), "exif_longitude": (3, 4), "exif_altitude": (5, 6)}
+#: Tags whose values are read: those above, the size of a TIFF, and the directories of its Exif and its location.
+WANTED = {*EXIF.values(), *range(1, 7), 256, 257, 0x8769, 0x8825}
 _SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "s", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d"}
 
 
@@ -583,7 +578,7 @@ def tiff_tags(data: bytes, at: int | None = None) -> dict[int, tuple]:
     for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
         tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
         code = _SIZES.get(kind)
-        if not code or n > 1 << 16:
+        if not code or tag not in WANTED:
             continue
         size = struct.calcsize(order + code) * n
         begin = at + 10 + 12 * i if size <= 4 else struct.unpack(order + "I", data[at + 10 + 12 * i : at + 14 + 12 * i])[0]
@@ -600,10 +595,10 @@ def tiff_tags(data: bytes, at: int | None = None) -> dict[int, tuple]:
 
 @lru_cache(8)
 def exif_tags(path: str, stamp: int) -> tuple[dict, dict]:
-    data = _head(path)
-    if data.startswith(b"\xff\xd8"):
+    data = _view(path)
+    if data[:2] == b"\xff\xd8":
         at = data.find(b"Exif\0\0")
-        data = data[at + 6 :] if at >= 0 else b""
+        data = data[at + 6 : at + 6 + (1 << 16)] if at >= 0 else b""  # a segment has a size of 16 bits
     if data[:2] not in (b"II", b"MM"):
         return {}, {}
     tags = tiff_tags(data)

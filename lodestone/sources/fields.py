@@ -70,7 +70,7 @@ FIELDS = _fields()
 
 #: Columns that a scan of files has, with their Spark types.
 SCAN = {
-    "_seq": "long", "_depth": "int", "_root": "string", "_archive": "string", "name": "string", "path": "string", "abspath": "string", "size": "long", "mode_bits": "int", "is_link": "boolean", "is_broken_symlink": "boolean",
+    "_seq": "string", "_depth": "int", "_root": "string", "_archive": "string", "name": "string", "path": "string", "abspath": "string", "size": "long", "mode_bits": "int", "is_link": "boolean", "is_broken_symlink": "boolean",
     "link_target": "string", "empty_dir": "boolean", "uid": "long", "gid": "long", "user": "string", "group": "string", "device": "long", "rdev": "long", "inode": "long", "blocks": "long", "blksize": "long", "hardlinks": "long",
     "atime_ns": "long", "mtime_ns": "long", "ctime_ns": "long", "birth_ns": "long",
 }

@@ -1,15 +1,17 @@
 """A Spark data source of directory entries: one row per file, folder and (asked for) member of a zip archive.
 
-Each folder at the top of a root is a partition that its own task walks. Executors read the tree by its path, so on a cluster a root is on a file system that all mount.
+Folders are listed breadth-first until there are enough of them, and are then walked by tasks of their own. Executors read the tree by its path, so on a cluster a root is on a file system that all mount.
 """
 
 from __future__ import annotations
 
+import ctypes
 import grp
 import os
 import pwd
 import re
 import stat
+import struct
 import zipfile
 from collections import deque
 from collections.abc import Iterator
@@ -37,10 +39,29 @@ def _owner(kind: str, number: int) -> str:
         return ""
 
 
-class Folder(InputPartition):
-    def __init__(self, nth: int, path: str | None):
-        super().__init__((nth, path))
-        self.nth, self.path = nth, path
+#: Folders that are known before the walk is dealt out, and tasks that they are dealt to, at most.
+FOLDERS, TASKS = 64, 512
+
+
+class Folders(InputPartition):
+    """Folders (path, depth of their entries, ignore rules above) that one task walks; deep: and what is below them."""
+
+    def __init__(self, folders: list[tuple[str, int, list]], deep: bool):
+        super().__init__((folders, deep))
+        self.folders, self.deep = folders, deep
+
+
+def birth_ns(path: str) -> int | None:
+    """When an entry was made, by statx; None where the file system or the system doesn't say."""
+    out = ctypes.create_string_buffer(256)
+    try:
+        # The fixed layout of statx: its mask begins the block, the time of birth lies at 80.
+        if ctypes.CDLL(None).statx(-100, os.fsencode(path), 0x100, 0x800, out) == 0 and struct.unpack_from("I", out, 0)[0] & 0x800:
+            seconds, ns = struct.unpack_from("qI", out, 80)
+            return seconds * 1_000_000_000 + ns
+    except (AttributeError, OSError):
+        pass
+    return None
 
 
 class Walk:
@@ -102,8 +123,10 @@ class Walk:
                         nested.append((entry.path, depth + 1, rules))
             queue.extend(nested)
 
-    def row(self, entry: os.DirEntry, depth: int, seq: int) -> dict:
+    def row(self, entry: os.DirEntry, depth: int) -> dict:
         path = os.path.relpath(entry.path, self.root)
+        # Siblings are visited by name, so an entry's place in the walk is that of its path, part by part; breadth first, by depth before.
+        seq = path.replace(os.sep, "\0") if self.o.get("order") == "dfs" else f"{depth:06}\0" + path.replace(os.sep, "\0")
         row = {"_seq": seq, "_depth": depth, "_root": self.root, "name": entry.name, "path": path, "abspath": os.path.join(os.path.realpath(os.path.dirname(entry.path)), entry.name)}
         if not self.o.get("stat", True):
             return row
@@ -115,7 +138,7 @@ class Walk:
         row |= {
             "size": st.st_size, "mode_bits": st.st_mode, "is_link": link, "is_broken_symlink": link and not os.path.exists(entry.path), "link_target": os.readlink(entry.path) if link else "",
             "uid": st.st_uid, "gid": st.st_gid, "user": _owner("user", st.st_uid), "group": _owner("group", st.st_gid), "device": st.st_dev, "rdev": st.st_rdev, "inode": st.st_ino, "blocks": st.st_blocks,
-            "blksize": st.st_blksize, "hardlinks": st.st_nlink, "atime_ns": st.st_atime_ns, "mtime_ns": st.st_mtime_ns, "ctime_ns": st.st_ctime_ns,
+            "blksize": st.st_blksize, "hardlinks": st.st_nlink, "atime_ns": st.st_atime_ns, "mtime_ns": st.st_mtime_ns, "ctime_ns": st.st_ctime_ns, "birth_ns": birth_ns(entry.path),
         }
         if stat.S_ISDIR(st.st_mode):
             try:
@@ -125,7 +148,7 @@ class Walk:
                 row["empty_dir"] = None
         return row
 
-    def members(self, row: dict, entry: os.DirEntry, seq: int) -> Iterator[dict]:
+    def members(self, row: dict, entry: os.DirEntry) -> Iterator[dict]:
         if not self.o.get("archives") or not entry.name.lower().endswith(tuple(ZIP_EXTENSIONS)):
             return
         try:
@@ -133,49 +156,39 @@ class Walk:
                 for i, m in enumerate(z.infolist(), 1):
                     mode = m.external_attr >> 16 or (stat.S_IFDIR | 0o755 if m.is_dir() else stat.S_IFREG | 0o644)
                     when = pa.scalar("{:04}-{:02}-{:02} {:02}:{:02}:{:02}".format(*m.date_time)).cast(pa.timestamp("ns")).value
-                    yield {"_seq": seq + i, "_depth": row["_depth"], "_root": self.root, "_archive": row["path"], "name": os.path.basename(m.filename.rstrip("/")), "path": m.filename, "abspath": f"{row['abspath']}/{m.filename}", "size": m.file_size, "mode_bits": mode if mode & 0o170000 else mode | stat.S_IFREG, "is_link": False, "is_broken_symlink": False, "link_target": "", "mtime_ns": when}
+                    yield {"_seq": f"{row['_seq']}\0{i:012}", "_depth": row["_depth"], "_root": self.root, "_archive": row["path"], "name": os.path.basename(m.filename.rstrip("/")), "path": m.filename, "abspath": f"{row['abspath']}/{m.filename}", "size": m.file_size, "mode_bits": mode if mode & 0o170000 else mode | stat.S_IFREG, "is_link": False, "is_broken_symlink": False, "link_target": "", "mtime_ns": when}
         except (OSError, zipfile.BadZipFile, pa.ArrowInvalid, NotImplementedError) as e:
             self.failed.append(str(e))
 
-    def rows(self, part: Folder) -> Iterator[dict]:
-        rules = ignore.rules_above(self.root, self.o)
-        depth_first = self.o.get("order") == "dfs"
-        whole = self.o.get("symlinks") or part.nth < 0
-        if whole:
-            found = self.walk(self.root, 1, rules)
-        elif part.path is None:
-            found = self.walk(self.root, 1, rules, deep=False)
-        else:
-            found = self.walk(part.path, 2, rules)
-        for n, (depth, entry) in enumerate(found, 1):
-            if depth < self.least:
-                continue
-            if whole:
-                seq = n << 20 if depth_first else depth << 50 | n << 20
-            elif part.path is None:
-                seq = n << 40 if depth_first else 1 << 50 | n << 20
-            else:
-                seq = part.nth << 40 | n << 20 if depth_first else depth << 50 | part.nth << 36 | n << 20
-            row = self.row(entry, depth, seq)
-            yield row
-            yield from self.members(row, entry, seq)
+    def rows(self, part: Folders) -> Iterator[dict]:
+        for folder, first, rules in part.folders:
+            for depth, entry in self.walk(folder, first, rules, part.deep):
+                if depth >= self.least:
+                    row = self.row(entry, depth)
+                    yield row
+                    yield from self.members(row, entry)
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.o = options
 
-    def partitions(self) -> list[Folder]:
+    def partitions(self) -> list[Folders]:
         walk = Walk(self.o["path"], self.o)
-        if self.o.get("symlinks"):
-            return [Folder(-1, None)]
-        rules = ignore.rules_above(walk.root, self.o)
-        tops = [(n, e) for n, (_, e) in enumerate(walk.walk(walk.root, 1, rules, deep=False), 1)]
-        if len(tops) > 1 << 14:
-            return [Folder(-1, None)]
-        return [Folder(0, None)] + [Folder(n, e.path) for n, e in tops if walk.most > 1 and e.is_dir(follow_symlinks=False)]
-
-    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        ahead = [(walk.root, 1, ignore.rules_above(walk.root, self.o))]
+        if self.o.get("symlinks"):  # no folder is walked twice, wherever links lead: one task has to know them all
+            return [Folders(ahead, True)]
+        listed = []
+        while ahead and len(ahead) < FOLDERS:
+            listed, below = listed + ahead, []
+            for folder, depth, rules in ahead:
+                if depth < walk.most:
+                    own = rules + ignore.git_rules(folder) if self.o.get("gitignore") and folder != walk.root else rules
+                    below += [(e.path, depth + 1, own) for _, e in walk.walk(folder, depth, rules, deep=False) if e.is_dir(follow_symlinks=False)]
+            ahead = below
+        return [Folders(part, deep) for folders, deep in ((listed, False), (ahead, True)) for i in range(TASKS) if (part := folders[i::TASKS])]
+
+    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
         batch: list[dict] = []
         for row in Walk(self.o["path"], self.o).rows(partition):
             batch.append(row)

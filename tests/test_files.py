@@ -196,6 +196,50 @@ def test_binary_attributes():
     assert extract.decode_capabilities(struct.pack("<IIIII", 0x02000001, 1 << 10, 0, 0, 0)) == ["cap_net_bind_service=ep"]
 
 
+def test_attributes(monkeypatch, tmp_path):
+    """Attributes that not every file system has: what the system gives is decoded."""
+    import fcntl
+
+    acl = struct.pack("<I", 2) + b"".join(struct.pack("<HHI", *e) for e in ((1, 6, 0xFFFFFFFF), (2, 7, 4_000_000), (4, 4, 0xFFFFFFFF), (16, 5, 0xFFFFFFFF), (32, 0, 0xFFFFFFFF)))
+    held = {"user.x": b"value", "system.posix_acl_access": acl, "system.posix_acl_default": acl, "security.capability": struct.pack("<IIIII", 0x02000001, 1 << 10, 0, 0, 0)}
+
+    def get(path, name, follow_symlinks=True):
+        if name not in held:
+            raise OSError(61, "no data")
+        return held[name]
+
+    monkeypatch.setattr(os, "getxattr", get)
+    monkeypatch.setattr(os, "listxattr", lambda path, follow_symlinks=True: list(held))
+    monkeypatch.setattr(fcntl, "ioctl", lambda f, code, data: struct.pack("l", 0x10 | 0x20))
+    path = str(tmp_path / "f")
+    (tmp_path / "f").write_text("")
+    read = lambda name, *args: extract.evaluate(name, path, *args)
+    entries = "user::rw-,user:4000000:rwx,group::r--,mask::r-x,other::---"
+    assert (read("has_xattrs"), read("xattr_count"), read("has_xattr", "x"), read("xattr", "user.x"), read("has_xattr", "y"), read("xattr", "y")) == (True, 4, True, "value", False, None)
+    for kind in ("", "default_"):
+        assert (read(f"has_{kind}acl"), read(f"{kind}acl"), read(f"has_{kind}acl_entry", "user:4000000"), read(f"{kind}acl_entry", "user:4000000"), read(f"{kind}acl_entry", "user"), read(f"has_{kind}acl_entry", "user:eve")) == (True, entries, True, "rwx", "rw-", False)
+    assert (read("has_capabilities"), read("capabilities"), read("has_capability", "net_bind_service"), read("has_capability", "cap_chown")) == (True, "cap_net_bind_service=ep", True, False)
+    assert (read("has_extattrs"), read("extattrs"), read("has_extattr", "i"), read("has_extattr", "d")) == (True, "ia", True, False)
+
+
+def test_wide_and_deep_trees(engine, tmp_path):
+    """More entries at the top than one task would take, and folders below the depth to which they are listed ahead; both orders are those of a plain walk."""
+    for i in range(90):
+        os.makedirs(tmp_path / f"d{i}" / "e" / "f")
+        (tmp_path / f"d{i}" / "e" / "f" / "x.log").write_text("")
+        (tmp_path / f"d{i}" / "keep").write_text("")
+    (tmp_path / "d7" / ".gitignore").write_text("*.log\n")
+    for i in range(17_000):
+        (tmp_path / f"t{i}").touch()
+    top = str(tmp_path)
+    plain = sorted((os.path.relpath(os.path.join(at, n), top) for at, folders, files in os.walk(top) for n in folders + files), key=lambda p: p.split("/"))
+    order = lambda query: [r.path for r in sorted(engine.table(engine.parse(query).roots[0])[0].select("path", "_seq").collect(), key=lambda r: r._seq)]
+    assert order(f"path from {top} dfs") == plain
+    assert order(f"path from {top}") == sorted(plain, key=lambda p: (p.count("/"), p.split("/")))
+    assert order(f"path from {top} dfs gitignore") == [p for p in plain if p != "d7/e/f/x.log"]
+    assert engine.table(engine.parse(f"path from {top} depth 1").roots[0])[0].rdd.getNumPartitions() < engine.table(engine.parse(f"path from {top}").roots[0])[0].rdd.getNumPartitions()
+
+
 def test_attributes_of_plain_files(engine, tree):
     row = engine.sql(f"has_xattrs, xattr_count, has_acl, acl, has_capabilities, has_xattr('user.x'), xattr('x'), has_acl_entry('user:bob'), has_capability('chown') from {tree} where name = noext").collect()[0]
     assert tuple(row) == (False, 0, False, "", False, False, None, False, False)
