@@ -213,11 +213,10 @@ def test_components_of_hubs(spark, monkeypatch):
     assert found == dict.fromkeys([*range(100, 126), *range(500, 530)], 100) | dict.fromkeys((7, 8, 9), 7) | {3: 3}
 
 
-@pytest.mark.parametrize(("block", "segment"), [(2048, 2), (25, 1), (6, 1)])
-def test_links_of_crowded_cells(spark, block, segment, monkeypatch):
+@pytest.mark.parametrize("block", [2048, 25, 6])
+def test_links_of_crowded_cells(spark, block, monkeypatch):
     """Chains and a dense cluster, in cells with a second grid and in blocks too."""
     monkeypatch.setattr(simhash, "BLOCK", block)
-    monkeypatch.setattr(simhash, "SEGMENT", segment)
     monkeypatch.setattr(simhash, "BROADCAST_CELLS", 0 if block == 6 else 100)
     rng = np.random.default_rng(3)
     base = int(rng.integers(1 << 62))
