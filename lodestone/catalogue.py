@@ -207,6 +207,8 @@ q("not_exists_two_levels", "n_name as n from nation as n where exists (select *
 q("scalar_uncorrelated", "p_partkey as k from part where p_retailprice = (select max(p_retailprice) from part)", "SELECT p_partkey AS k FROM part WHERE p_retailprice = (SELECT max(p_retailprice) FROM part)")
 q("scalar_correlated_aggregate", "c_custkey as k, (select count(*) from orders as o where o.o_custkey = c.c_custkey) as n, (select max(o.o_totalprice) from orders as o where o.o_custkey = c.c_custkey) as top from customer as c", "SELECT c_custkey AS k, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n, (SELECT max(o.o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c")
 q("scalar_nearest", "s_suppkey as k, (select c.c_custkey from customer as c where c.c_nationkey = s.s_nationkey order by abs(c.c_acctbal - s.s_acctbal) limit 1) as near from supplier as s", "SELECT s_suppkey AS k, (SELECT arg_min(c_custkey, (abs(c_acctbal - s_acctbal), c_custkey)) FROM customer c WHERE c.c_nationkey = s.s_nationkey) AS near FROM supplier s")
+q("scalar_nearest_of_all", "s_suppkey as k, (select c.c_custkey from customer as c order by abs(c.c_acctbal - s.s_acctbal) limit 1) as near from supplier as s", "SELECT s_suppkey AS k, (SELECT arg_min(c_custkey, (abs(c_acctbal - s_acctbal), c_custkey)) FROM customer c) AS near FROM supplier s")
+q("scalar_nearest_in_where", "s_suppkey as k from supplier as s where 50 > abs(s_acctbal - (select c.c_acctbal from customer as c where c.c_mktsegment = 'BUILDING' order by abs(s.s_acctbal - c.c_acctbal) limit 1))", "SELECT s_suppkey AS k FROM supplier s WHERE 50 > abs(s_acctbal - (SELECT arg_min(c_acctbal, (abs(s_acctbal - c_acctbal), c_acctbal)) FROM customer c WHERE c_mktsegment = 'BUILDING'))")
 q("scalar_in_where_and_order", "c_custkey as k from customer as c where c.c_acctbal > (select avg(s.s_acctbal) from supplier as s where s.s_nationkey = c.c_nationkey) order by (select count(*) from orders as o where o.o_custkey = c.c_custkey) desc, c_custkey limit 15", "SELECT c_custkey AS k FROM customer c WHERE c.c_acctbal > (SELECT avg(s.s_acctbal) FROM supplier s WHERE s.s_nationkey = c.c_nationkey) ORDER BY (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) DESC, c_custkey LIMIT 15")
 q("scalar_in_group", "(select r.r_name from region as r where r.r_regionkey = n.n_regionkey) as r, count(*) as n from nation as n group by 1", "SELECT (SELECT r_name FROM region r WHERE r.r_regionkey = n.n_regionkey) AS r, count(*) AS n FROM nation n GROUP BY 1")
 q("from_subquery", "o_orderkey as k from (select * from orders where o_totalprice > 200000) where o_orderstatus = 'P'", "SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'P'")

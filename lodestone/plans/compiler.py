@@ -24,6 +24,10 @@ from .scope import Scope, framed
 from .values import BOOL, FLOAT, INT, STRING, TIME, Value
 
 
+#: Nearest matches are looked for in the square of this many ranges.
+RANGES = 32
+
+
 @dataclass
 class Env:
     """How names and subqueries resolve: scopes from the innermost out, values of subqueries already joined, and of grouped expressions by their text."""
@@ -62,6 +66,42 @@ def outer_columns(q: Query, known: frozenset = frozenset()) -> list[Col]:
     return out
 
 
+def roots_of(x: Expr, q: Query) -> set[bool]:
+    """Whose columns an expression reads: True for those of a subquery's own root, False for those of roots around it."""
+    return {x.root is None or x.root.lower() in aliases_of(q) for x in walk(x) if isinstance(x, Col)}
+
+
+def nearest_sides(q: Query) -> tuple[Expr, Expr, list[tuple[Col, Col]]] | None:
+    """The inner and outer number and the (inner, outer) key columns of a subquery that takes the row of the least abs(inner - outer) among rows of equal keys; None for any other."""
+    if len(q.roots) != 1 or len(q.order) != 1 or q.offset or is_grouped(q) or any(True for _ in queries_below(q)) or roots_of(q.items[0].expr, q) - {True}:
+        return None
+    by, rising = q.order[0]
+    if not (rising and isinstance(by, Func) and by.name == "abs" and len(by.args) == 1 and isinstance(by.args[0], Arith) and by.args[0].op == "-"):
+        return None
+    sides = {frozenset(roots_of(x, q)): x for x in (by.args[0].left, by.args[0].right)}
+    if sides.keys() != {frozenset({True}), frozenset({False})}:
+        return None
+    pairs = []
+    for c in conjuncts(q.where):
+        if roots_of(c, q) <= {True}:
+            continue
+        if not (isinstance(c, Compare) and c.op in ("eq", "eeq") and isinstance(c.left, Col) and isinstance(c.right, Col) and len(roots_of(c, q)) == 2):
+            return None
+        pairs.append((c.left, c.right) if roots_of(c.left, q) == {True} else (c.right, c.left))
+    return sides[frozenset({True})], sides[frozenset({False})], pairs
+
+
+def join_key(a: Value, b: Value) -> tuple[Column, Column] | None:
+    """Columns that are equal where `a = b` holds between columns of two roots."""
+    if a.kind == b.kind == STRING:
+        return F.coalesce(a.col, F.lit("")), F.coalesce(b.col, F.lit(""))
+    if a.kind == b.kind == INT:
+        return a.col.cast("bigint"), b.col.cast("bigint")
+    if {a.kind, b.kind} <= {INT, FLOAT}:
+        return V.number(a), V.number(b)
+    return None
+
+
 def is_aggregate(x: Expr) -> bool:
     return any(isinstance(y, Func) and y.name in registry.AGGREGATES for y in walk(x))
 
@@ -316,6 +356,10 @@ class Compiler:
             found = self.result(q).limit(1)
             kind = V.kind_of(found.schema[0].dataType)
             return df.join(F.broadcast(found.toDF(name)), F.lit(True), "left"), Value(F.col(name), kind)
+        if sides := nearest_sides(q):
+            near = self.nearest(df, q, sides, outer, env, name)
+            if near is not None:
+                return near
         rows, columns, names, scopes = self.domain(df, outer, env)
         found, own = self.over(rows, scopes, q)
         if is_aggregate(item):
@@ -346,6 +390,46 @@ class Compiler:
             df = df.withColumn(name, F.coalesce(F.col(name), empty))
         return df, Value(F.col(name), v.kind)
 
+    def nearest(self, df: DataFrame, q: Query, sides: tuple[Expr, Expr, list[tuple[Col, Col]]], outer: list[Col], env: Env, name: str) -> tuple[DataFrame, Value] | None:
+        """df with the value of the inner row whose number is nearest to one of the outer row; of rows as near the least value. None if the keys are of kinds that don't join by equality.
+
+        Both sides are sorted together within ranges of the number, so no outer value meets every inner row: the nearest are the last inner number at or below and the first at or above.
+        What earlier and later ranges hold is carried over from a table of one row a key and range. Ranges have equal shares of the distinct (key, number) pairs.
+        """
+        near, to, pairs = sides
+        inner, scope = self.frame(q.roots[0])
+        equal = {id(c) for c in conjuncts(q.where) if len(roots_of(c, q)) == 2}
+        local = [c for c in conjuncts(q.where) if id(c) not in equal]
+        inner = self.filter(inner, reduce(And, local) if local else None, Env([scope]))
+        rows, columns, names, scopes = self.domain(df, outer, env)
+        own, around = Env([scope]), Env(scopes)
+        keys = [join_key(self.value(a, own), self.value(b, around)) for a, b in pairs]
+        if None in keys:
+            return None
+        item, a, b = self.value(q.items[0].expr, own), V.number(self.value(near, own)), V.number(self.value(to, around))
+        k, finite = [f"_k{i}" for i in range(len(keys))], F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf"))
+        usable = both([finite, *[F.col(c).isNotNull() for c in k]])
+        inner = inner.filter(both([~e for e in own.errors])).select(*[x.alias(c) for (x, _), c in zip(keys, k, strict=True)], a.alias("_v"), item.col.alias("_p")).filter(usable)
+        rows = rows.filter(both([~e for e in around.errors])).select(*[x.alias(c) for (_, x), c in zip(keys, k, strict=True)], b.alias("_v"), F.struct(*names).alias("_o")).filter(usable)
+        inner = inner.groupBy(*k, "_v").agg(F.min(F.struct("_p"))["_p"].alias("_p")).select(*k, "_v", F.struct("_v", "_p").alias("_c"))
+        both_sides = inner.unionByName(rows, allowMissingColumns=True)
+        parts = [i / RANGES**2 for i in range(1, RANGES**2)]
+        cuts = both_sides.agg(F.percentile_approx("_v", parts).alias("c")).select(F.struct(
+            F.expr(f"transform(sequence(1, {RANGES - 1}), i -> c[i * {RANGES} - 1])").alias("coarse"), F.expr(f"transform(sequence(0, {RANGES - 1}), i -> slice(c, i * {RANGES} + 1, {RANGES}))").alias("fine"),
+        ))
+        both_sides = both_sides.withColumn("_cuts", cuts.scalar()).withColumn("_coarse", F.expr("size(filter(_cuts.coarse, x -> x <= _v))"))
+        both_sides = both_sides.withColumn("_range", F.expr(f"_coarse * {RANGES + 1} + size(filter(_cuts.fine[_coarse], x -> x <= _v))")).drop("_cuts", "_coarse")
+        ends = both_sides.groupBy(*k, "_range").agg(F.min("_c").alias("_least"), F.max("_c").alias("_most"))
+        along = Window.partitionBy(*k).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*k, "_range", F.max("_most").over(along.orderBy("_range")).alias("_before"), F.min("_least").over(along.orderBy(F.desc("_range"))).alias("_after"))
+        within = Window.partitionBy(*k, "_range").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        found = both_sides.withColumn("_below", F.max("_c").over(within.orderBy("_v"))).withColumn("_above", F.min("_c").over(within.orderBy(F.desc("_v")))).filter(F.col("_o").isNotNull())
+        found = found.join(ends, [*k, "_range"], "left")
+        best = F.least(*[F.when(c.isNotNull(), F.struct(F.abs(c["_v"] - F.col("_v")).alias("d"), c["_p"].alias("p"))) for c in (F.coalesce("_below", "_before"), F.coalesce("_above", "_after"))])
+        found = found.select("_o.*", F.when(best["d"] < float("inf"), best["p"]).alias(name))
+        same = both([x.eqNullSafe(F.col(n)) for x, n in zip(columns, names, strict=True)])
+        return df.join(found, same, "left").drop(*names), Value(F.col(name), item.kind)
+
     @staticmethod
     def check_width(q: Query, narrow: bool) -> None:
         if narrow and (len(q.items) != 1 or isinstance(q.items[0].expr, Star)):

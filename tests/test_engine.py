@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from lodestone import catalogue
@@ -162,3 +163,21 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize(("key", "inner"), [(False, "inner_rows"), (True, "inner_rows"), (False, "no_rows")])
+def test_nearest(spark, key, inner):
+    """Ties, repeated, missing, endless and no numbers, missing keys; against every pair."""
+    draw = random.Random(3)
+    schema = "id long, k string, x double"
+    sides = {"outer_rows": 300, "inner_rows": 400, "no_rows": 0}
+    data = {n: [(i, draw.choice([None, "a", "b", ""]), draw.choice([None, 1.5, math.nan, math.inf, *[draw.randint(-250, 250) / 2 for _ in range(20)]])) for i in range(size)] for n, size in sides.items()}
+    e = Engine(spark, {n: spark.createDataFrame(d, schema) for n, d in data.items()})
+    df = e.sql(f"id, (select t.id from {inner} as t {'where t.k = u.k' if key else ''} order by abs(u.x - t.x) limit 1) as near from outer_rows as u")
+    want = []
+    for i, k, x in data["outer_rows"]:
+        apart = [(abs(y - x), j) for j, other, y in data[inner] if (not key or (other or "") == (k or "")) and None not in (x, y) and math.isfinite(abs(y - x))]
+        want.append((i, min(apart)[1] if apart else None))
+    assert sorted(tuple(r) for r in df.collect()) == want
+    plan = df._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
