@@ -12,6 +12,12 @@ import tomllib
 
 from pyspark.sql import SparkSession
 
+try:
+    import readline
+except ImportError:  # not on every platform
+    readline = None
+
+from . import __version__
 from .engine import Engine, QueryError
 from .functions import registry
 from .lang.parser import FORMATS, OPTIONS
@@ -51,6 +57,17 @@ def execute(engine: Engine, query: str, debug: bool = False, errors: bool = True
 
 class Prompt(cmd.Cmd):
     prompt = "query> "
+    history = os.path.expanduser("~/.config/lodestone/history")
+
+    def preloop(self):
+        """Lines of earlier sessions can be recalled, where Python has readline."""
+        if readline and os.path.exists(self.history):
+            readline.read_history_file(self.history)
+
+    def postloop(self):
+        if readline:
+            os.makedirs(os.path.dirname(self.history), exist_ok=True)
+            readline.write_history_file(self.history)
 
     def __init__(self, engine: Engine):
         super().__init__()
@@ -92,6 +109,9 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lodestone", description="Query files and tables with relaxed SQL.")
     parser.add_argument("--config")
     parser.add_argument("--no-errors", action="store_true")
+    parser.add_argument("--nocolor", action="store_true", help="for scripts; results have no colours")
+    parser.add_argument("--us-dates", action="store_true", help="read 1/2/2024 as January 2")
+    parser.add_argument("--version", action="version", version=f"lodestone {__version__}")
     parser.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help="a Parquet table to query by name")
     parser.add_argument("-i", "--interactive", action="store_true")
     for kind in ("fields", "functions", "root-options", "output-formats"):
@@ -103,8 +123,9 @@ def main(argv: list[str] | None = None) -> int:
         if getattr(args, kind):
             print("\n".join(names))
             return 0
+    config = load_config(args.config) | ({"us_dates": True} if args.us_dates else {})
     spark = session()
-    engine = Engine(spark, {n: spark.read.parquet(p) for n, _, p in (t.partition("=") for t in args.table)}, config=load_config(args.config))
+    engine = Engine(spark, {n: spark.read.parquet(p) for n, _, p in (t.partition("=") for t in args.table)}, config=config)
     if args.interactive or not args.query:
         Prompt(engine).cmdloop()
         return 0

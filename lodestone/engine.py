@@ -15,7 +15,7 @@ from .plans.scope import BINDINGS
 from .plans.values import US_DATES
 from .sinks.render import render
 from .sources import fsentries
-from .sources.fields import FIELDS
+from .sources.fields import EXTENSIONS, FIELDS, OWN_EXTENSIONS
 
 #: Fields that a scan knows without asking the file system about each entry.
 FROM_PATH = {"name", "filename", "fname", "ext", "extension", "path", "abspath", "dir", "directory", "dirname", "absdir", "is_hidden", "is_archive", "is_audio", "is_book", "is_doc", "is_font", "is_image", "is_source", "is_video"}
@@ -64,10 +64,12 @@ class Engine:
         used = scan_columns(query)
         self._stat = bool(used - FROM_PATH) or "*" in used
         token = US_DATES.set(bool(self.config.get("us_dates")))
+        lists = OWN_EXTENSIONS.set({k: self.config[k] for k in EXTENSIONS if k in self.config})
         try:
             return Compiler(self).result(query)
         finally:
             US_DATES.reset(token)
+            OWN_EXTENSIONS.reset(lists)
 
     def snapshot(self, name: str, path: str, folder: str, **options) -> DataFrame:
         """Write a listing of a file tree as Parquet to a folder; from then on `from name` reads the listing instead of walking the tree."""
@@ -90,7 +92,7 @@ class Engine:
         if name.endswith(".parquet"):
             stem = os.path.basename(name)[: -len(".parquet")]
             return self.spark.read.parquet(root.path), False, self.bindings.get(stem, {})
-        options = {"stat": self._stat, **{k: self.config[k] for k in ("gitignore", "hgignore", "dockerignore") if k in self.config}, **root.options}
+        options = {"stat": self._stat, **{k: self.config[k] for k in ("gitignore", "hgignore", "dockerignore", "is_zip_archive") if k in self.config}, **root.options}
         return fsentries.scan(self.spark, root.path, **options), True, {}
 
 

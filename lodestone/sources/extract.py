@@ -237,7 +237,12 @@ def xattr(name, path, key):
 
 # Attribute flags of Linux file systems, and capabilities by number.
 FLAGS = ((0x1, "s"), (0x2, "u"), (0x4, "c"), (0x8, "S"), (0x10, "i"), (0x20, "a"), (0x40, "d"), (0x80, "A"), (0x800, "E"), (0x1000, "I"), (0x4000, "j"), (0x8000, "t"), (0x10000, "D"), (0x20000, "T"), (0x80000, "e"), (0x100000, "V"), (0x800000, "C"), (0x2000000, "x"), (0x10000000, "N"), (0x20000000, "P"), (0x40000000, "F"))
-CAPABILITIES = "chown dac_override dac_read_search fowner fsetid kill setgid setuid setpcap linux_immutable net_bind_service net_broadcast net_admin net_raw ipc_lock ipc_owner sys_module sys_rawio sys_chroot sys_ptrace sys_pacct sys_admin sys_boot sys_nice sys_resource sys_time sys_tty_config mknod lease audit_write audit_control setfcap mac_override mac_admin syslog wake_alarm block_suspend audit_read perfmon bpf checkpoint_restore".split()
+CAPABILITIES = [
+    "chown", "dac_override", "dac_read_search", "fowner", "fsetid", "kill", "setgid", "setuid", "setpcap", "linux_immutable", "net_bind_service", "net_broadcast",
+    "net_admin", "net_raw", "ipc_lock", "ipc_owner", "sys_module", "sys_rawio", "sys_chroot", "sys_ptrace", "sys_pacct", "sys_admin", "sys_boot", "sys_nice",
+    "sys_resource", "sys_time", "sys_tty_config", "mknod", "lease", "audit_write", "audit_control", "setfcap", "mac_override", "mac_admin", "syslog", "wake_alarm",
+    "block_suspend", "audit_read", "perfmon", "bpf", "checkpoint_restore",
+]
 
 
 @reads("extattrs", "has_extattrs", "has_extattr")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -10,40 +12,171 @@ from pyspark.sql import functions as F
 from ..functions.registry import format_size
 from ..plans.values import BOOL, FLOAT, INT, STRING, TIME, Value, text
 
-# Every field's names; type (s text, n number, d time, b truth); cost; z if members of archives have it.
-FIELD_LIST = """
-name s0z | filename,fname s0z | ext,extension s0z | path s0z | abspath s1z | dir,directory,dirname s0z | absdir s1z | size n1z | fsize,hsize n1z | uid n1 | gid n1 | user s1 | group s1
-created d1 | accessed d1 | modified d1z | is_dir b1z | is_file b1z | is_symlink b1z | link_target,symlink_target s1z | is_broken_symlink,is_broken_link b1z | is_pipe,is_fifo b1z
-is_char,is_character b1z | is_block b1z | is_socket b1z | device s1 | rdev s1 | inode s1 | blocks s1 | blksize,block_size s1 | hardlinks s1 | atime s1 | atime_nsec s1 | mtime s1
-mtime_nsec s1 | ctime s1 | ctime_nsec s1 | mode s1z | user_read b1z | user_write b1z | user_exec b1z | user_all,user_rwx b1z | group_read b1z | group_write b1z | group_exec b1z
-group_all,group_rwx b1z | other_read b1z | other_write b1z | other_exec b1z | other_all,other_rwx b1z | suid,is_suid b1z | sgid,is_sgid b1z | is_sticky,sticky b1z | is_hidden b1z
-has_xattrs b2 | xattr_count n2 | extattrs s2 | has_extattrs b2 | acl s2 | has_acl b2 | default_acl s2 | has_default_acl b2 | has_capabilities,has_caps b2 | capabilities,caps s2
-is_shebang b2 | is_git_repo b1 | is_git_tracked,git_tracked b16 | is_gitignored,is_git_ignored b16 | git_status s16 | git_branch s16 | git_last_commit_hash,git_commit_hash s1024
-git_last_commit_date,git_commit_date d1024 | git_last_commit_author,git_commit_author s1024 | is_empty b2z | width n16 | height n16 | duration n16 | bitrate,mp3_bitrate n16
-freq,mp3_freq n16 | title,mp3_title s16 | artist,mp3_artist s16 | album,mp3_album s16 | audio_year,mp3_year n16 | genre,mp3_genre s16 | comment,mp3_comment s16 | track,mp3_track s16
-disc,mp3_disc s16 | exif_datetime d16 | exif_datetime_original,exif_dto d16 | exif_altitude,exif_alt n16 | exif_latitude,exif_lat n16 | exif_longitude,exif_lon,exif_lng n16
-exif_make s16 | exif_model s16 | exif_software s16 | exif_version s16 | exif_exposure_time,exif_exptime n16 | exif_aperture n16 | exif_shutter_speed n16 | exif_f_number,exif_f_num n16
-exif_iso_speed,exif_iso s16 | exif_sensitivity,exif_photo_sensitivity s16 | exif_focal_length,exif_focal_len n16 | exif_lens_make s16 | exif_lens_model s16
-exif_description,exif_desc s16 | exif_artist s16 | exif_copyright s16 | exif_orientation s16 | exif_flash s16 | exif_color_space s16 | exif_exposure_program,exif_exp_program s16
-exif_exposure_bias,exif_exp_bias n16 | exif_white_balance,exif_wb s16 | exif_metering_mode s16 | exif_scene_type,exif_scene s16 | exif_contrast s16 | exif_saturation s16
-exif_sharpness s16 | exif_body_serial,exif_serial s16 | exif_lens_serial s16 | exif_user_comment,exif_comment s16 | exif_image_width,exif_width s16
-exif_image_height,exif_height s16 | exif_max_aperture s16 | exif_digital_zoom,exif_dzoom n16 | mime s16 | line_count n1024 | word_count,words n1024 | char_count,chars n1024
-encoding s1024 | has_bom b16 | line_ending,line_endings,eol s1024 | is_binary b16 | is_text b16 | is_archive b0z | is_audio b0z | is_book b0z | is_doc b0z | is_font b0z | is_image b0z
-is_source b0z | is_video b0z | sha1 s1024 | sha256,sha2_256 s1024 | sha512,sha2_512 s1024 | sha3,sha3_512 s1024
-"""
+# Every field's names (the first is shown), its type, what it costs to find, and whether members of archives have it.
+FIELD_LIST = [
+    (("name",), STRING, 0, True),
+    (("filename", "fname"), STRING, 0, True),
+    (("ext", "extension"), STRING, 0, True),
+    (("path",), STRING, 0, True),
+    (("abspath",), STRING, 1, True),
+    (("dir", "directory", "dirname"), STRING, 0, True),
+    (("absdir",), STRING, 1, True),
+    (("size",), INT, 1, True),
+    (("fsize", "hsize"), INT, 1, True),
+    (("uid",), INT, 1, False),
+    (("gid",), INT, 1, False),
+    (("user",), STRING, 1, False),
+    (("group",), STRING, 1, False),
+    (("created",), TIME, 1, False),
+    (("accessed",), TIME, 1, False),
+    (("modified",), TIME, 1, True),
+    (("is_dir",), BOOL, 1, True),
+    (("is_file",), BOOL, 1, True),
+    (("is_symlink",), BOOL, 1, True),
+    (("link_target", "symlink_target"), STRING, 1, True),
+    (("is_broken_symlink", "is_broken_link"), BOOL, 1, True),
+    (("is_pipe", "is_fifo"), BOOL, 1, True),
+    (("is_char", "is_character"), BOOL, 1, True),
+    (("is_block",), BOOL, 1, True),
+    (("is_socket",), BOOL, 1, True),
+    (("device",), STRING, 1, False),
+    (("rdev",), STRING, 1, False),
+    (("inode",), STRING, 1, False),
+    (("blocks",), STRING, 1, False),
+    (("blksize", "block_size"), STRING, 1, False),
+    (("hardlinks",), STRING, 1, False),
+    (("atime",), STRING, 1, False),
+    (("atime_nsec",), STRING, 1, False),
+    (("mtime",), STRING, 1, False),
+    (("mtime_nsec",), STRING, 1, False),
+    (("ctime",), STRING, 1, False),
+    (("ctime_nsec",), STRING, 1, False),
+    (("mode",), STRING, 1, True),
+    (("user_read",), BOOL, 1, True),
+    (("user_write",), BOOL, 1, True),
+    (("user_exec",), BOOL, 1, True),
+    (("user_all", "user_rwx"), BOOL, 1, True),
+    (("group_read",), BOOL, 1, True),
+    (("group_write",), BOOL, 1, True),
+    (("group_exec",), BOOL, 1, True),
+    (("group_all", "group_rwx"), BOOL, 1, True),
+    (("other_read",), BOOL, 1, True),
+    (("other_write",), BOOL, 1, True),
+    (("other_exec",), BOOL, 1, True),
+    (("other_all", "other_rwx"), BOOL, 1, True),
+    (("suid", "is_suid"), BOOL, 1, True),
+    (("sgid", "is_sgid"), BOOL, 1, True),
+    (("is_sticky", "sticky"), BOOL, 1, True),
+    (("is_hidden",), BOOL, 1, True),
+    (("has_xattrs",), BOOL, 2, False),
+    (("xattr_count",), INT, 2, False),
+    (("extattrs",), STRING, 2, False),
+    (("has_extattrs",), BOOL, 2, False),
+    (("acl",), STRING, 2, False),
+    (("has_acl",), BOOL, 2, False),
+    (("default_acl",), STRING, 2, False),
+    (("has_default_acl",), BOOL, 2, False),
+    (("has_capabilities", "has_caps"), BOOL, 2, False),
+    (("capabilities", "caps"), STRING, 2, False),
+    (("is_shebang",), BOOL, 2, False),
+    (("is_git_repo",), BOOL, 1, False),
+    (("is_git_tracked", "git_tracked"), BOOL, 16, False),
+    (("is_gitignored", "is_git_ignored"), BOOL, 16, False),
+    (("git_status",), STRING, 16, False),
+    (("git_branch",), STRING, 16, False),
+    (("git_last_commit_hash", "git_commit_hash"), STRING, 1024, False),
+    (("git_last_commit_date", "git_commit_date"), TIME, 1024, False),
+    (("git_last_commit_author", "git_commit_author"), STRING, 1024, False),
+    (("is_empty",), BOOL, 2, True),
+    (("width",), INT, 16, False),
+    (("height",), INT, 16, False),
+    (("duration",), INT, 16, False),
+    (("bitrate", "mp3_bitrate"), INT, 16, False),
+    (("freq", "mp3_freq"), INT, 16, False),
+    (("title", "mp3_title"), STRING, 16, False),
+    (("artist", "mp3_artist"), STRING, 16, False),
+    (("album", "mp3_album"), STRING, 16, False),
+    (("audio_year", "mp3_year"), INT, 16, False),
+    (("genre", "mp3_genre"), STRING, 16, False),
+    (("comment", "mp3_comment"), STRING, 16, False),
+    (("track", "mp3_track"), STRING, 16, False),
+    (("disc", "mp3_disc"), STRING, 16, False),
+    (("exif_datetime",), TIME, 16, False),
+    (("exif_datetime_original", "exif_dto"), TIME, 16, False),
+    (("exif_altitude", "exif_alt"), INT, 16, False),
+    (("exif_latitude", "exif_lat"), INT, 16, False),
+    (("exif_longitude", "exif_lon", "exif_lng"), INT, 16, False),
+    (("exif_make",), STRING, 16, False),
+    (("exif_model",), STRING, 16, False),
+    (("exif_software",), STRING, 16, False),
+    (("exif_version",), STRING, 16, False),
+    (("exif_exposure_time", "exif_exptime"), INT, 16, False),
+    (("exif_aperture",), INT, 16, False),
+    (("exif_shutter_speed",), INT, 16, False),
+    (("exif_f_number", "exif_f_num"), INT, 16, False),
+    (("exif_iso_speed", "exif_iso"), STRING, 16, False),
+    (("exif_sensitivity", "exif_photo_sensitivity"), STRING, 16, False),
+    (("exif_focal_length", "exif_focal_len"), INT, 16, False),
+    (("exif_lens_make",), STRING, 16, False),
+    (("exif_lens_model",), STRING, 16, False),
+    (("exif_description", "exif_desc"), STRING, 16, False),
+    (("exif_artist",), STRING, 16, False),
+    (("exif_copyright",), STRING, 16, False),
+    (("exif_orientation",), STRING, 16, False),
+    (("exif_flash",), STRING, 16, False),
+    (("exif_color_space",), STRING, 16, False),
+    (("exif_exposure_program", "exif_exp_program"), STRING, 16, False),
+    (("exif_exposure_bias", "exif_exp_bias"), INT, 16, False),
+    (("exif_white_balance", "exif_wb"), STRING, 16, False),
+    (("exif_metering_mode",), STRING, 16, False),
+    (("exif_scene_type", "exif_scene"), STRING, 16, False),
+    (("exif_contrast",), STRING, 16, False),
+    (("exif_saturation",), STRING, 16, False),
+    (("exif_sharpness",), STRING, 16, False),
+    (("exif_body_serial", "exif_serial"), STRING, 16, False),
+    (("exif_lens_serial",), STRING, 16, False),
+    (("exif_user_comment", "exif_comment"), STRING, 16, False),
+    (("exif_image_width", "exif_width"), STRING, 16, False),
+    (("exif_image_height", "exif_height"), STRING, 16, False),
+    (("exif_max_aperture",), STRING, 16, False),
+    (("exif_digital_zoom", "exif_dzoom"), INT, 16, False),
+    (("mime",), STRING, 16, False),
+    (("line_count",), INT, 1024, False),
+    (("word_count", "words"), INT, 1024, False),
+    (("char_count", "chars"), INT, 1024, False),
+    (("encoding",), STRING, 1024, False),
+    (("has_bom",), BOOL, 16, False),
+    (("line_ending", "line_endings", "eol"), STRING, 1024, False),
+    (("is_binary",), BOOL, 16, False),
+    (("is_text",), BOOL, 16, False),
+    (("is_archive",), BOOL, 0, True),
+    (("is_audio",), BOOL, 0, True),
+    (("is_book",), BOOL, 0, True),
+    (("is_doc",), BOOL, 0, True),
+    (("is_font",), BOOL, 0, True),
+    (("is_image",), BOOL, 0, True),
+    (("is_source",), BOOL, 0, True),
+    (("is_video",), BOOL, 0, True),
+    (("sha1",), STRING, 1024, False),
+    (("sha256", "sha2_256"), STRING, 1024, False),
+    (("sha512", "sha2_512"), STRING, 1024, False),
+    (("sha3", "sha3_512"), STRING, 1024, False),
+]
 # Extensions of the classes of files.
 EXTENSIONS = {
-    "is_archive": ".7z .bz2 .bzip2 .gz .gzip .lz .rar .tar .xz .zip",
-    "is_audio": ".aac .aiff .amr .flac .gsm .m4a .m4b .m4p .mp3 .ogg .wav .wma",
-    "is_book": ".azw3 .chm .djv .djvu .epub .fb2 .mobi .pdf",
-    "is_doc": ".accdb .doc .docm .docx .dot .dotm .dotx .mdb .odp .ods .odt .pdf .potm .potx .ppt .pptm .pptx .rtf .xlm .xls .xlsm .xlsx .xlt .xltm .xltx .xps",
-    "is_font": ".eot .fon .otc .otf .ttc .ttf .woff .woff2",
-    "is_image": ".bmp .exr .gif .heic .jpeg .jpg .jxl .png .psb .psd .svg .tga .tiff .webp",
-    "is_source": ".asm .awk .bas .c .cc .ceylon .clj .coffee .cpp .cs .d .dart .elm .erl .go .gradle .groovy .h .hh .hpp .java .jl .js .jsp .jsx .kt .kts .lua .nim .pas .php .pl .pm .py .qml .rb .rs .scala .sol .swift .tcl .ts .tsx .vala .vb .zig",
-    "is_video": ".3gp .avi .flv .m4p .m4v .mkv .mov .mp4 .mpeg .mpg .webm .wmv",
-}
+    "is_archive": [".7z", ".bz2", ".bzip2", ".gz", ".gzip", ".lz", ".rar", ".tar", ".xz", ".zip"],
+    "is_audio": [".aac", ".aiff", ".amr", ".flac", ".gsm", ".m4a", ".m4b", ".m4p", ".mp3", ".ogg", ".wav", ".wma"],
+    "is_book": [".azw3", ".chm", ".djv", ".djvu", ".epub", ".fb2", ".mobi", ".pdf"],
+    "is_doc": [".accdb", ".doc", ".docm", ".docx", ".dot", ".dotm", ".dotx", ".mdb", ".odp", ".ods", ".odt", ".pdf", ".potm", ".potx", ".ppt", ".pptm", ".pptx", ".rtf", ".xlm", ".xls", ".xlsm", ".xlsx", ".xlt", ".xltm", ".xltx", ".xps"],
+    "is_font": [".eot", ".fon", ".otc", ".otf", ".ttc", ".ttf", ".woff", ".woff2"],
+    "is_image": [".bmp", ".exr", ".gif", ".heic", ".jpeg", ".jpg", ".jxl", ".png", ".psb", ".psd", ".svg", ".tga", ".tiff", ".webp"],
+    "is_source": [".asm", ".awk", ".bas", ".c", ".cc", ".ceylon", ".clj", ".coffee", ".cpp", ".cs", ".d", ".dart", ".elm", ".erl", ".go", ".gradle", ".groovy", ".h", ".hh", ".hpp", ".java", ".jl", ".js", ".jsp", ".jsx", ".kt", ".kts", ".lua", ".nim", ".pas", ".php", ".pl", ".pm", ".py", ".qml", ".rb", ".rs", ".scala", ".sol", ".swift", ".tcl", ".ts", ".tsx", ".vala", ".vb", ".zig"],
+    "is_video": [".3gp", ".avi", ".flv", ".m4p", ".m4v", ".mkv", ".mov", ".mp4", ".mpeg", ".mpg", ".webm", ".wmv"],
+}
 #: Extensions of archives that are read as folders.
-ZIP_EXTENSIONS = ".zip .jar .war .ear".split()
+ZIP_EXTENSIONS = [".zip", ".jar", ".war", ".ear"]
+#: Lists of extensions that a configuration sets in place of these.
+OWN_EXTENSIONS: ContextVar[dict[str, list[str]]] = ContextVar("own_extensions", default={})
 
 
 @dataclass(frozen=True)
@@ -55,18 +188,7 @@ class Field:
     in_archives: bool
 
 
-def _fields() -> dict[str, Field]:
-    out = {}
-    for part in FIELD_LIST.replace("\n", " | ").split("|"):
-        if part := part.strip():
-            names, code = part.split()
-            names = tuple(names.split(","))
-            f = Field(names[0], names, {"s": STRING, "n": INT, "d": TIME, "b": BOOL}[code[0]], int(code[1:].rstrip("z")), code.endswith("z"))
-            out |= dict.fromkeys(names, f)
-    return out
-
-
-FIELDS = _fields()
+FIELDS = {n: Field(names[0], names, kind, weight, in_archives) for names, kind, weight, in_archives in FIELD_LIST for n in names}
 
 #: Columns that a scan of files has, with their Spark types.
 SCAN = {
@@ -109,7 +231,7 @@ def parent(path: Column) -> Column:
 
 
 def has_extension(name: Column, extensions: list[str]) -> Column:
-    return F.lower(name).rlike(r"(?:" + "|".join(e.replace(".", r"\.") for e in extensions) + r")\z")
+    return F.lower(name).rlike(r"(?:" + "|".join(re.escape(e.lower()) for e in extensions) + r")\z") if extensions else F.lit(False)
 
 
 def content_value(field: str, content: Column) -> Value | None:
@@ -153,7 +275,7 @@ def derive(field: Field, get, is_file: bool) -> Value | None:
     if f in ("filename", "ext", "is_hidden", *EXTENSIONS) and name:
         n = text(name)
         if f in EXTENSIONS:
-            out = Value(has_extension(n, EXTENSIONS[f].split()), BOOL)
+            out = Value(has_extension(n, OWN_EXTENSIONS.get().get(f, EXTENSIONS[f])), BOOL)
         else:
             out = {"filename": lambda: Value(stem(n), STRING), "ext": lambda: Value(extension(n), STRING), "is_hidden": lambda: Value(F.startswith(n, F.lit(".")), BOOL)}[f]()
     elif f == "dir" and path:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ctypes
 import grp
+import json
 import os
 import pwd
 import re
@@ -149,7 +150,7 @@ class Walk:
         return row
 
     def members(self, row: dict, entry: os.DirEntry) -> Iterator[dict]:
-        if not self.o.get("archives") or not entry.name.lower().endswith(tuple(ZIP_EXTENSIONS)):
+        if not self.o.get("archives") or not entry.name.lower().endswith(tuple(e.lower() for e in self.o.get("is_zip_archive", ZIP_EXTENSIONS))):
             return
         try:
             with zipfile.ZipFile(entry.path) as z:
@@ -205,7 +206,7 @@ class Reader(DataSourceReader):
 
 
 class FsEntries(DataSource):
-    """format("fsentries"): options path, mindepth, maxdepth, symlinks, archives, gitignore, hgignore, dockerignore, order (bfs, dfs) and stat."""
+    """format("fsentries"): options path, mindepth, maxdepth, symlinks, archives, gitignore, hgignore, dockerignore, order (bfs, dfs), stat and is_zip_archive (a JSON list of extensions)."""
 
     @classmethod
     def name(cls) -> str:
@@ -216,9 +217,9 @@ class FsEntries(DataSource):
 
     def reader(self, schema) -> Reader:
         def read(k, v):
-            return int(v) if k.endswith("depth") else v if k in ("path", "order") else str(v).lower() == "true"
+            return json.loads(v) if k == "is_zip_archive" else int(v) if k.endswith("depth") else v if k in ("path", "order") else str(v).lower() == "true"
 
-        known = ("path", "mindepth", "maxdepth", "symlinks", "archives", "gitignore", "hgignore", "dockerignore", "order", "stat")
+        known = ("path", "mindepth", "maxdepth", "symlinks", "archives", "gitignore", "hgignore", "dockerignore", "order", "stat", "is_zip_archive")
         return Reader({k: read(k, self.options[k]) for k in known if k in self.options})
 
 
@@ -251,7 +252,7 @@ def scan(spark: SparkSession, path: str, regexp: bool = False, **options) -> Dat
     for root in roots:
         reader = spark.read.format("fsentries").option("path", root)
         for k, v in options.items():
-            reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
+            reader = reader.option(k, json.dumps(v) if isinstance(v, list) else str(v).lower() if isinstance(v, bool) else str(v))
         one = reader.load()
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], ", ".join(f"`{n}` {t}" for n, t in SCAN.items()))

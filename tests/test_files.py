@@ -252,6 +252,21 @@ def test_command_line(spark, tree, capsys):
     for flag in ("--fields", "--functions", "--root-options", "--output-formats"):
         assert cli.main([flag]) == 0
     assert "line_count" in capsys.readouterr().out
+    with pytest.raises(SystemExit) as ended:
+        cli.main(["--version"])
+    assert ended.value.code == 0 and capsys.readouterr().out.startswith("lodestone ")
+    assert cli.main(["--nocolor", "--us-dates", "month('1/2/2024') as m from " + str(tree) + " where name = a.txt"]) == 0 and capsys.readouterr().out == "1\n"
+
+
+def test_extension_lists_of_the_configuration(spark, tmp_path):
+    make(tmp_path, {"a.txt": "1", "b.RS": "2", "c.q+": "3"})
+    with zipfile.ZipFile(tmp_path / "d.pack", "w") as z:
+        z.writestr("inner.txt", "x")
+    own = Engine(spark, config={"is_source": [".txt", ".q+"], "is_zip_archive": [".pack"], "is_audio": []})
+    names = lambda e, q: sorted(r[0] for r in e.sql(q).collect())
+    assert names(own, f"name from {tmp_path} where is_source") == ["a.txt", "c.q+"] and names(Engine(spark), f"name from {tmp_path} where is_source") == ["b.RS"]
+    assert len(names(own, f"name from {tmp_path} archives")) == 5 and len(names(Engine(spark), f"name from {tmp_path} archives")) == 4
+    assert names(own, f"name from {tmp_path} where is_audio") == []
 
 
 def test_streams(spark, tmp_path):
