@@ -24,6 +24,8 @@ from .scope import Scope, framed
 from .values import BOOL, FLOAT, INT, STRING, TIME, Value
 
 
+#: Orders of numbers; what reads `greater than` of some inner value holds of the greatest one.
+GREATER, LESS = ("gt", "gte"), ("lt", "lte")
 #: Nearest matches are looked for in the square of this many ranges.
 RANGES = 32
 
@@ -315,6 +317,8 @@ class Compiler:
             own = Env([scope, *env.scopes])
             local = [c for c in conjuncts(q.where) if not any(isinstance(y, Col) and y.root and y.root.lower() not in aliases_of(q) for y in walk(c))]
             inner = self.filter(inner, reduce(And, local) if local else None, Env([scope]))
+            if isinstance(x, Exists) and (found := self.extreme(df, inner, scope, q, [c for c in conjuncts(q.where) if c not in local], env, how)) is not None:
+                return found
             conditions = [self.condition(c, own) for c in conjuncts(q.where) if c not in local]
             if isinstance(x, In):
                 df, env = self.attach(df, [x.of], env)
@@ -323,6 +327,33 @@ class Compiler:
         name = f"_mark{next(self.number)}"
         return self.marked(df, x, env, name).filter(F.col(name) != negated).drop(name)
 
+    def extreme(self, df: DataFrame, inner: DataFrame, scope: Scope, q: Query, conditions: list[Expr], env: Env, how: str) -> DataFrame | None:
+        """EXISTS by equal keys and one order of numbers: some inner number is above (below) the outer one if the greatest (least) of its key is, so one row a key is joined, whatever the keys' sizes. None for other conditions."""
+        name, keys, bound = f"_best{next(self.number)}", [], None
+        own, around = Env([scope]), Env(env.scopes)
+        for c in conditions:
+            if not isinstance(c, Compare) or {frozenset(roots_of(s, q)) for s in (c.left, c.right)} != {frozenset({True}), frozenset({False})}:
+                return None
+            first = roots_of(c.left, q) == {True}
+            mine, theirs = (c.left, c.right) if first else (c.right, c.left)
+            a, b = self.value(mine, own), self.value(theirs, around)
+            key = join_key(a, b) if c.op in ("eq", "eeq") and isinstance(mine, Col) and isinstance(theirs, Col) else None
+            if key:
+                keys.append(key)
+            elif c.op in GREATER + LESS and {a.kind, b.kind} <= {INT, FLOAT} and bound is None:
+                bound = c.op, first, a, b
+            else:
+                return None
+        if bound is None:
+            return None
+        op, first, a, b = bound
+        names = [f"{name}_{i}" for i in range(len(keys))]
+        pick = F.max if (op in GREATER) == first else F.min
+        best = inner.filter(both([~e for e in own.errors])).groupBy(*[k.alias(n) for (k, _), n in zip(keys, names, strict=True)]).agg(pick(a.col).alias(name))
+        m = Value(F.col(name), a.kind)
+        matched = [k == F.col(n) for (_, k), n in zip(keys, names, strict=True)] + [compare(op, m, b) if first else compare(op, b, m)]
+        return df.join(best if keys else F.broadcast(best), both([*matched, *[~e for e in around.errors]]), how)
+
     def marked(self, df: DataFrame, x: In | Exists, env: Env, name: str) -> DataFrame:
         """df with a column that says whether IN or EXISTS holds."""
         q = x.query

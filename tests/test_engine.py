@@ -132,6 +132,30 @@ def test_plans(spark):
     assert "LeftSemi" in plan("c_name from customer as c where exists (select * from orders as o where o.o_custkey = c.c_custkey)")
 
 
+def test_exists_by_extremes(spark):
+    """EXISTS by keys and one order of numbers joins one row a key, and finds what comparing all pairs finds: nulls, not-a-numbers, missing keys and mixed kinds too."""
+    rng = random.Random(3)
+    number = lambda: rng.choice([None, float("nan"), rng.randint(-5, 5) / 2, 1e300, float("-inf")])
+    key = lambda: rng.choice([None, "", "a", "b", "c", "d"])
+    left = [(i, key(), number(), rng.choice([None, rng.randint(-3, 3)])) for i in range(60)]
+    right = [(rng.choice(["", "a", "b", None]), number(), rng.choice([None, rng.randint(-3, 3)])) for _ in range(12)]
+    e = Engine(spark)
+    e.register("l", spark.createDataFrame(left, "i long, k string, f double, n long"))
+    e.register("r", spark.createDataFrame(right, "k string, f double, n long"))
+    above = lambda a, b: a == a and b == b and a > b or a != a and b == b  # noqa: E731  not-a-number is the greatest
+    orders = {">": above, ">=": lambda a, b: not above(b, a), "<": lambda a, b: above(b, a), "<=": lambda a, b: not above(a, b)}
+    for keyed, (op, holds), (own, other, a, b) in [(k, o, c) for k in (True, False) for o in orders.items() for c in (("f", "f", 2, 1), ("n", "f", 3, 1), ("f", "n", 2, 2), ("n", "n", 3, 2))]:
+        for shape, want_ in ((f"r.{other} {op} l.{own}", lambda x, y: holds(y, x)), (f"l.{own} {op} r.{other}", holds)):
+            where = shape + (" and r.k = l.k" if keyed else "")
+            want = {x[0] for x in left if any(x[a] is not None and y[b] is not None and want_(x[a], y[b]) and (not keyed or (x[1] or "") == (y[0] or "")) for y in right)}
+            q = f"i from l as l where exists (select * from r as r where {where})"
+            assert {r[0] for r in rows(e, q)} == want, q
+            if own == other:
+                assert {r[0] for r in rows(e, q.replace("exists", "not exists"))} == {x[0] for x in left} - want, q
+    plan = e.sql("i from l as l where exists (select * from r as r where r.f > l.f and r.k = l.k)")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "LeftSemi" in plan
+
+
 def test_catalogue(spark):
     """Every query with SQL gives what the SQL gives, on the smallest tables."""
     from concurrent.futures import ThreadPoolExecutor
