@@ -21,6 +21,8 @@ from . import __version__
 from .engine import Engine, QueryError
 from .functions import registry
 from .lang.parser import FORMATS, OPTIONS
+from .sinks.colors import Colors
+from .sources.fsentries import MissingRoot
 from .sources.fields import FIELDS
 
 
@@ -38,16 +40,23 @@ def session() -> SparkSession:
     return spark
 
 
-def execute(engine: Engine, query: str, debug: bool = False, errors: bool = True) -> int:
-    """Print a result; 0, or 2 for a query that can't be run."""
+def terminal_colors(config: dict, off: bool = False) -> Colors | None:
+    """Colours, if the output is a terminal and neither a switch, the configuration nor NO_COLOR forbids them."""
+    if off or config.get("no_color") or os.environ.get("NO_COLOR") or not sys.stdout.isatty():
+        return None
+    return Colors(os.environ.get("LS_COLORS"))
+
+
+def execute(engine: Engine, query: str, debug: bool = False, errors: bool = True, colors: Colors | None = None) -> int:
+    """Print a result as its rows come; 0, 1 for a root that isn't there, or 2 for a query that can't be run."""
     began = time.time()
     try:
-        for part in [engine.text(query)]:
+        for part in engine.stream(query, colors):
             sys.stdout.write(part)
     except QueryError as e:
         if errors:
             print(f"error: {e}", file=sys.stderr)
-        return 2
+        return 1 if isinstance(e, MissingRoot) else 2
     except BrokenPipeError:
         return 0
     if debug:
@@ -69,14 +78,14 @@ class Prompt(cmd.Cmd):
             os.makedirs(os.path.dirname(self.history), exist_ok=True)
             readline.write_history_file(self.history)
 
-    def __init__(self, engine: Engine):
+    def __init__(self, engine: Engine, colors: Colors | None = None):
         super().__init__()
-        self.engine, self.debug, self.show_errors = engine, False, True
+        self.engine, self.debug, self.show_errors, self.colors = engine, False, True, colors
 
     def default(self, line: str):
         if line.strip() == "EOF":
             return True
-        execute(self.engine, line.rstrip(";"), self.debug, self.show_errors)
+        execute(self.engine, line.rstrip(";"), self.debug, self.show_errors, self.colors)
         return None
 
     def do_cd(self, path: str):
@@ -109,7 +118,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lodestone", description="Query files and tables with relaxed SQL.")
     parser.add_argument("--config")
     parser.add_argument("--no-errors", action="store_true")
-    parser.add_argument("--nocolor", action="store_true", help="for scripts; results have no colours")
+    parser.add_argument("--nocolor", action="store_true", help="names are never coloured")
     parser.add_argument("--us-dates", action="store_true", help="read 1/2/2024 as January 2")
     parser.add_argument("--version", action="version", version=f"lodestone {__version__}")
     parser.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help="a Parquet table to query by name")
@@ -123,14 +132,15 @@ def main(argv: list[str] | None = None) -> int:
         if getattr(args, kind):
             print("\n".join(names))
             return 0
-    config = load_config(args.config) | ({"us_dates": True} if args.us_dates else {})
+    config = load_config(args.config) | ({"us_dates": True} if args.us_dates else {}) | ({"errors": False} if args.no_errors else {})
+    colors = terminal_colors(config, args.nocolor)
     spark = session()
     engine = Engine(spark, {n: spark.read.parquet(p) for n, _, p in (t.partition("=") for t in args.table)}, config=config)
     if args.interactive or not args.query:
-        Prompt(engine).cmdloop()
+        Prompt(engine, colors).cmdloop()
         return 0
     query = args.query[0] if len(args.query) == 1 else " ".join(shlex.quote(a) if " " in a and not a.startswith(("'", '"')) else a for a in args.query)
-    return execute(engine, query, bool(engine.config.get("debug")), not args.no_errors)
+    return execute(engine, query, bool(engine.config.get("debug")), not args.no_errors, colors)
 
 
 if __name__ == "__main__":

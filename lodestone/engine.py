@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import registry
 from .lang.parser import Parser, QueryError
-from .lang.tree import Query, Root
-from .plans.compiler import Compiler, scan_columns
+from .lang.tree import Col, Item, Query, Root, Star
+from .plans.compiler import Compiler, is_grouped, scan_columns
 from .plans.scope import BINDINGS
 from .plans.values import US_DATES
+from .sinks.colors import Colors
 from .sinks.render import render
 from .sources import fsentries
 from .sources.fields import EXTENSIONS, FIELDS, OWN_EXTENSIONS
@@ -77,10 +79,25 @@ class Engine:
         self.listings[name.lower()] = found = self.spark.read.parquet(folder)
         return found
 
-    def text(self, query: str) -> str:
-        """The result of a query in the format that it asks for."""
+    def stream(self, query: str, colors: Colors | None = None) -> Iterator[str]:
+        """The result of a query in the format that it asks for, row by row; with colours, names of files are painted by their modes."""
         parsed = self.parse(query)
-        return "".join(render(self.run(parsed), parsed.into, parsed.text))
+        own = [i.expr for i in parsed.items]
+        named = [i for i, x in enumerate(own) if isinstance(x, Col) and x.name == "name"]
+        if colors is None or parsed.into not in ("tabs", "lines") or not named or is_grouped(parsed) or any(isinstance(x, Star) for x in own):
+            return render(self.run(parsed), parsed.into, parsed.text)
+        root = own[named[0]].root
+        parsed.items = parsed.items + [Item(Col("mode", root, "mode")), Item(Col("is_broken_symlink", root, "is_broken_symlink"))]
+
+        def painted(row: list[str]) -> list[str]:
+            *row, mode, broken = row
+            return [colors.paint(v, mode, broken == "true") if i in named else v for i, v in enumerate(row)]
+
+        return render(self.run(parsed), parsed.into, parsed.text, painted)
+
+    def text(self, query: str) -> str:
+        """The whole result of a query as one text."""
+        return "".join(self.stream(query))
 
     def table(self, root: Root) -> tuple[DataFrame, bool, dict[str, str]]:
         """A root's rows, whether they are files, and which columns stand for fields."""
@@ -92,7 +109,7 @@ class Engine:
         if name.endswith(".parquet"):
             stem = os.path.basename(name)[: -len(".parquet")]
             return self.spark.read.parquet(root.path), False, self.bindings.get(stem, {})
-        options = {"stat": self._stat, **{k: self.config[k] for k in ("gitignore", "hgignore", "dockerignore", "is_zip_archive") if k in self.config}, **root.options}
+        options = {"stat": self._stat, **{k: self.config[k] for k in ("gitignore", "hgignore", "dockerignore", "is_zip_archive", "errors") if k in self.config}, **root.options}
         return fsentries.scan(self.spark, root.path, **options), True, {}
 
 

@@ -6,7 +6,7 @@ import csv
 import html
 import io
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +19,10 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(text(typed(F.col(f"`{f.name}`"), f.dataType)), F.lit("")).alias(f.name) for f in df.schema.fields])
 
 
-def render(df: DataFrame, into: str = "tabs", title: str = "") -> Iterator[str]:
+def render(df: DataFrame, into: str = "tabs", title: str = "", shown: Callable[[list[str]], list[str]] = list) -> Iterator[str]:
+    """A result row by row. shown: what to print of a row's texts."""
     names = df.columns
-    rows = ([v or "" for v in r] for r in as_text(df).toLocalIterator())
+    rows = (shown([v or "" for v in r]) for r in as_text(df).toLocalIterator())
     if into == "tabs":
         yield from ("\t".join(r) + "\n" for r in rows)
     elif into == "lines":

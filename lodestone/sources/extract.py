@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..plans.values import BOOL, FLOAT, INT, TIME
 
 BLOCK = 1 << 16
+#: Files whose facts a worker keeps: a whole Arrow batch, so that all fields of one kind come from one reading of a file.
+KEPT = 10_000
 
 _SPARK = {INT: "long", FLOAT: "double", BOOL: "boolean", TIME: "timestamp_ntz"}
 FILE_FUNCTIONS: dict = {}
@@ -104,7 +106,7 @@ def line_count(name, path):
 _BOMS = ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe\x00\x00", "UTF-32LE"), (b"\x00\x00\xfe\xff", "UTF-32BE"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE"))
 
 
-@lru_cache(8)
+@lru_cache(KEPT)
 def scan_text(path: str, stamp: int) -> dict:
     """Encoding, characters, words and line ends of a file in one pass of bounded memory."""
     with open(path, "rb") as f:
@@ -512,7 +514,7 @@ def _id3_text(body: bytes) -> str:
     return body[1:].decode(code, "replace").strip("\0﻿ ")
 
 
-@lru_cache(8)
+@lru_cache(KEPT)
 def audio_facts(path: str, stamp: int) -> dict:
     data, out, at = _view(path), {}, 0
     if data[:4] == b"RIFF" and data[8:12] == b"WAVE":
@@ -598,7 +600,7 @@ def tiff_tags(data: bytes, at: int | None = None) -> dict[int, tuple]:
     return out
 
 
-@lru_cache(8)
+@lru_cache(KEPT)
 def exif_tags(path: str, stamp: int) -> tuple[dict, dict]:
     data = _view(path)
     if data[:2] == b"\xff\xd8":
@@ -608,7 +610,9 @@ def exif_tags(path: str, stamp: int) -> tuple[dict, dict]:
         return {}, {}
     tags = tiff_tags(data)
     place = tiff_tags(data, tags[0x8825][0]) if 0x8825 in tags else {}
-    return tags | (tiff_tags(data, tags[0x8769][0]) if 0x8769 in tags else {}), place
+    tags |= tiff_tags(data, tags[0x8769][0]) if 0x8769 in tags else {}
+    shown = {*EXIF.values()}
+    return {t: v for t, v in tags.items() if t in shown}, place
 
 
 @reads(*EXIF, *GPS)

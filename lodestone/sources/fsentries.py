@@ -13,6 +13,7 @@ import pwd
 import re
 import stat
 import struct
+import sys
 import zipfile
 from collections import deque
 from collections.abc import Iterator
@@ -40,6 +41,10 @@ def _owner(kind: str, number: int) -> str:
         return ""
 
 
+class MissingRoot(QueryError):
+    """A root that is no folder."""
+
+
 #: Folders that are known before the walk is dealt out, and tasks that they are dealt to, at most.
 FOLDERS, TASKS = 64, 512
 
@@ -73,14 +78,18 @@ class Walk:
         self.most = options.get("maxdepth") or 1 << 30
         self.least = options.get("mindepth") or 0
         self.seen: set[str] = set()
-        self.failed: list[str] = []
+
+    def report(self, e: Exception, path: str) -> None:
+        """Say what couldn't be read, where this task logs; the walk goes on."""
+        if self.o.get("errors", True):
+            print(f"{path}: {e}", file=sys.stderr, flush=True)
 
     def entries(self, folder: str) -> list[os.DirEntry]:
         try:
             with os.scandir(folder) as found:
                 return sorted(found, key=lambda e: e.name)
         except OSError as e:
-            self.failed.append(str(e))
+            self.report(e, folder)
             return []
 
     def into(self, entry: os.DirEntry) -> bool:
@@ -159,7 +168,7 @@ class Walk:
                     when = pa.scalar("{:04}-{:02}-{:02} {:02}:{:02}:{:02}".format(*m.date_time)).cast(pa.timestamp("ns")).value
                     yield {"_seq": f"{row['_seq']}\0{i:012}", "_depth": row["_depth"], "_root": self.root, "_archive": row["path"], "name": os.path.basename(m.filename.rstrip("/")), "path": m.filename, "abspath": f"{row['abspath']}/{m.filename}", "size": m.file_size, "mode_bits": mode if mode & 0o170000 else mode | stat.S_IFREG, "is_link": False, "is_broken_symlink": False, "link_target": "", "mtime_ns": when}
         except (OSError, zipfile.BadZipFile, pa.ArrowInvalid, NotImplementedError) as e:
-            self.failed.append(str(e))
+            self.report(e, entry.path)
 
     def rows(self, part: Folders) -> Iterator[dict]:
         for folder, first, rules in part.folders:
@@ -175,7 +184,7 @@ class Reader(DataSourceReader):
         self.o = options
 
     def partitions(self) -> list[Folders]:
-        walk = Walk(self.o["path"], self.o)
+        walk = Walk(self.o["path"], self.o | {"errors": False})  # the tasks list these folders again
         ahead = [(walk.root, 1, ignore.rules_above(walk.root, self.o))]
         if self.o.get("symlinks"):  # no folder is walked twice, wherever links lead: one task has to know them all
             return [Folders(ahead, True)]
@@ -206,7 +215,7 @@ class Reader(DataSourceReader):
 
 
 class FsEntries(DataSource):
-    """format("fsentries"): options path, mindepth, maxdepth, symlinks, archives, gitignore, hgignore, dockerignore, order (bfs, dfs), stat and is_zip_archive (a JSON list of extensions)."""
+    """format("fsentries"): options path, mindepth, maxdepth, symlinks, archives, gitignore, hgignore, dockerignore, order (bfs, dfs), stat, errors (say what can't be read) and is_zip_archive (a JSON list of extensions)."""
 
     @classmethod
     def name(cls) -> str:
@@ -219,7 +228,7 @@ class FsEntries(DataSource):
         def read(k, v):
             return json.loads(v) if k == "is_zip_archive" else int(v) if k.endswith("depth") else v if k in ("path", "order") else str(v).lower() == "true"
 
-        known = ("path", "mindepth", "maxdepth", "symlinks", "archives", "gitignore", "hgignore", "dockerignore", "order", "stat", "is_zip_archive")
+        known = ("path", "mindepth", "maxdepth", "symlinks", "archives", "gitignore", "hgignore", "dockerignore", "order", "stat", "errors", "is_zip_archive")
         return Reader({k: read(k, self.options[k]) for k in known if k in self.options})
 
 
@@ -247,7 +256,7 @@ def scan(spark: SparkSession, path: str, regexp: bool = False, **options) -> Dat
     spark.dataSource.register(FsEntries)
     roots = expand(path, regexp)
     if not regexp and not os.path.isdir(roots[0]):
-        raise QueryError(f"no such folder or table: {path}")
+        raise MissingRoot(f"no such folder or table: {path}")
     out = None
     for root in roots:
         reader = spark.read.format("fsentries").option("path", root)

@@ -11,7 +11,9 @@ import zlib
 import pytest
 from lodestone import cli
 from lodestone.engine import Engine, QueryError
+from lodestone.sinks.colors import Colors
 from lodestone.sources import extract, ignore
+from lodestone.sources.fsentries import Reader
 from lodestone.streaming.files import counts, watch
 
 
@@ -248,7 +250,7 @@ def test_attributes_of_plain_files(engine, tree):
 def test_command_line(spark, tree, capsys):
     assert cli.main([f"name, size from {tree} where name = a.txt into csv"]) == 0 and capsys.readouterr().out == "a.txt,7\n"
     assert cli.main(["name", "from", str(tree), "where", "name", "=", "noext"]) == 0 and capsys.readouterr().out == "noext\n"
-    assert cli.main(["name from /no/such/folder"]) == 2 and "no such folder" in capsys.readouterr().err
+    assert cli.main(["name from /no/such/folder"]) == 1 and "no such folder" in capsys.readouterr().err
     for flag in ("--fields", "--functions", "--root-options", "--output-formats"):
         assert cli.main([flag]) == 0
     assert "line_count" in capsys.readouterr().out
@@ -258,6 +260,31 @@ def test_command_line(spark, tree, capsys):
     assert cli.main(["--nocolor", "--us-dates", "month('1/2/2024') as m from " + str(tree) + " where name = a.txt"]) == 0 and capsys.readouterr().out == "1\n"
 
 
+def test_colours(engine, tmp_path):
+    c = Colors("di=01;34:ln=36:or=31:ex=01;32:*.gz=35:*.tar.gz=33:ow=42:fi=0")
+    assert c.paint("d", "drwxr-xr-x") == "\x1b[1;34md\x1b[0m" and c.paint("d", "drwxr-xrwx") == "\x1b[42md\x1b[0m" and c.paint("l", "lrwxrwxrwx") == "\x1b[36ml\x1b[0m" and c.paint("l", "lrwxrwxrwx", True) == "\x1b[31ml\x1b[0m"
+    assert c.paint("run.gz", "-rwxr-xr-x") == "\x1b[1;32mrun.gz\x1b[0m" and c.paint("x.GZ", "-rw-r--r--") == "\x1b[35mx.GZ\x1b[0m" and c.paint("x.tar.gz", "-rw-r--r--") == "\x1b[33mx.tar.gz\x1b[0m"
+    assert c.paint("x", "-rw-r--r--") == "x" and c.paint("x", "") == "x" and Colors().paint("d", "drwxr-xr-x") == "\x1b[1;34md\x1b[0m" and Colors("").style("p", "prw-r--r--") == "33"
+    make(tmp_path, {"a.gz": "1", "d/b": "2"})
+    os.symlink("nowhere", tmp_path / "gone")
+    shown = lambda q: "".join(engine.stream(q, c))
+    assert shown(f"name, size from {tmp_path} where is_file order by name") == "\x1b[35ma.gz\x1b[0m\t1\nb\t1\n" and shown(f"name as n from {tmp_path} where name = gone into lines") == "\x1b[31mgone\x1b[0m\n"
+    assert shown(f"lower(name) from {tmp_path} where name = d") == "d\n" and shown(f"name from {tmp_path} where name = d into csv") == "d\n" and shown(f"name, count(*) from {tmp_path} where name = d group by name") == "d\t1\n"
+    assert shown(f"x.name from {tmp_path} as x where x.name = d") == "\x1b[1;34md\x1b[0m\n" and cli.terminal_colors({}) is None
+
+
+def test_reports_and_single_readings(tmp_path, capsys):
+    make(tmp_path, {"bad.zip": "no archive", "a.txt": "one two"})
+    for errors, said in ((True, True), (False, False)):
+        reader = Reader({"path": str(tmp_path), "archives": True, "errors": errors})
+        assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2
+        assert ("bad.zip" in capsys.readouterr().err) == said
+    extract.scan_text.cache_clear()
+    for name in ("word_count", "char_count", "encoding", "line_ending"):
+        extract.evaluate(name, str(tmp_path / "a.txt"))
+    assert extract.scan_text.cache_info().misses == 1
+
+
 def test_extension_lists_of_the_configuration(spark, tmp_path):
     make(tmp_path, {"a.txt": "1", "b.RS": "2", "c.q+": "3"})
     with zipfile.ZipFile(tmp_path / "d.pack", "w") as z:
