@@ -45,8 +45,8 @@ class MissingRoot(QueryError):
     """A root that is no folder."""
 
 
-#: Folders that are known before the walk is dealt out, and tasks that they are dealt to, at most.
-FOLDERS, TASKS = 64, 512
+#: Folders that are known before the walk is dealt out, and tasks that they are dealt to, for each core of the session.
+FOLDERS, TASKS = 16, 3
 
 
 class Folders(InputPartition):
@@ -57,12 +57,17 @@ class Folders(InputPartition):
         self.folders, self.deep = folders, deep
 
 
+@lru_cache(1)
+def _libc() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
 def birth_ns(path: str) -> int | None:
     """When an entry was made, by statx; None where the file system or the system doesn't say."""
     out = ctypes.create_string_buffer(256)
     try:
         # The fixed layout of statx: its mask begins the block, the time of birth lies at 80.
-        if ctypes.CDLL(None).statx(-100, os.fsencode(path), 0x100, 0x800, out) == 0 and struct.unpack_from("I", out, 0)[0] & 0x800:
+        if _libc().statx(-100, os.fsencode(path), 0x100, 0x800, out) == 0 and struct.unpack_from("I", out, 0)[0] & 0x800:
             seconds, ns = struct.unpack_from("qI", out, 80)
             return seconds * 1_000_000_000 + ns
     except (AttributeError, OSError):
@@ -78,6 +83,8 @@ class Walk:
         self.most = options.get("maxdepth") or 1 << 30
         self.least = options.get("mindepth") or 0
         self.seen: set[str] = set()
+        self.real = lru_cache(1024)(os.path.realpath)
+        self.above = len(self.root.rstrip("/")) + 1
 
     def report(self, e: Exception, path: str) -> None:
         """Say what couldn't be read, where this task logs; the walk goes on."""
@@ -134,10 +141,10 @@ class Walk:
             queue.extend(nested)
 
     def row(self, entry: os.DirEntry, depth: int) -> dict:
-        path = os.path.relpath(entry.path, self.root)
+        path = entry.path[self.above :]
         # Siblings are visited by name, so an entry's place in the walk is that of its path, part by part; breadth first, by depth before.
         seq = path.replace(os.sep, "\0") if self.o.get("order") == "dfs" else f"{depth:06}\0" + path.replace(os.sep, "\0")
-        row = {"_seq": seq, "_depth": depth, "_root": self.root, "name": entry.name, "path": path, "abspath": os.path.join(os.path.realpath(os.path.dirname(entry.path)), entry.name)}
+        row = {"_seq": seq, "_depth": depth, "_root": self.root, "name": entry.name, "path": path, "abspath": os.path.join(self.real(os.path.dirname(entry.path)), entry.name)}
         if not self.o.get("stat", True):
             return row
         try:
@@ -188,15 +195,16 @@ class Reader(DataSourceReader):
         ahead = [(walk.root, 1, ignore.rules_above(walk.root, self.o))]
         if self.o.get("symlinks"):  # no folder is walked twice, wherever links lead: one task has to know them all
             return [Folders(ahead, True)]
+        cores = self.o.get("cores", 4)
         listed = []
-        while ahead and len(ahead) < FOLDERS:
+        while ahead and len(ahead) < FOLDERS * cores:
             listed, below = listed + ahead, []
             for folder, depth, rules in ahead:
                 if depth < walk.most:
                     own = rules + ignore.git_rules(folder) if self.o.get("gitignore") and folder != walk.root else rules
                     below += [(e.path, depth + 1, own) for _, e in walk.walk(folder, depth, rules, deep=False) if e.is_dir(follow_symlinks=False)]
             ahead = below
-        return [Folders(part, deep) for folders, deep in ((listed, False), (ahead, True)) for i in range(TASKS) if (part := folders[i::TASKS])]
+        return [Folders(part, deep) for folders, deep in ((listed, False), (ahead, True)) for i in range(TASKS * cores) if (part := folders[i :: TASKS * cores])]
 
     def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
         batch: list[dict] = []
@@ -210,12 +218,12 @@ class Reader(DataSourceReader):
 
     @staticmethod
     def arrow(rows: list[dict]) -> pa.RecordBatch:
-        clean = lambda v: v.encode("utf-8", "replace").decode() if isinstance(v, str) else v
-        return pa.RecordBatch.from_arrays([pa.array([clean(r.get(n)) for r in rows], t) for n, t in zip(SCHEMA.names, SCHEMA.types, strict=True)], schema=SCHEMA)
+        clean = lambda v: v if v is None or v.isascii() else v.encode("utf-8", "replace").decode()
+        return pa.RecordBatch.from_arrays([pa.array([clean(r.get(n)) if t == pa.string() else r.get(n) for r in rows], t) for n, t in zip(SCHEMA.names, SCHEMA.types, strict=True)], schema=SCHEMA)
 
 
 class FsEntries(DataSource):
-    """format("fsentries"): options path, mindepth, maxdepth, symlinks, archives, gitignore, hgignore, dockerignore, order (bfs, dfs), stat, errors (say what can't be read) and is_zip_archive (a JSON list of extensions)."""
+    """format("fsentries"): options path, mindepth, maxdepth, symlinks, archives, gitignore, hgignore, dockerignore, order (bfs, dfs), stat, errors (say what can't be read), cores (that the walk is dealt out for) and is_zip_archive (a JSON list of extensions)."""
 
     @classmethod
     def name(cls) -> str:
@@ -226,9 +234,9 @@ class FsEntries(DataSource):
 
     def reader(self, schema) -> Reader:
         def read(k, v):
-            return json.loads(v) if k == "is_zip_archive" else int(v) if k.endswith("depth") else v if k in ("path", "order") else str(v).lower() == "true"
+            return json.loads(v) if k == "is_zip_archive" else int(v) if k.endswith("depth") or k == "cores" else v if k in ("path", "order") else str(v).lower() == "true"
 
-        known = ("path", "mindepth", "maxdepth", "symlinks", "archives", "gitignore", "hgignore", "dockerignore", "order", "stat", "errors", "is_zip_archive")
+        known = ("path", "mindepth", "maxdepth", "symlinks", "archives", "gitignore", "hgignore", "dockerignore", "order", "stat", "errors", "cores", "is_zip_archive")
         return Reader({k: read(k, self.options[k]) for k in known if k in self.options})
 
 
@@ -259,7 +267,7 @@ def scan(spark: SparkSession, path: str, regexp: bool = False, **options) -> Dat
         raise MissingRoot(f"no such folder or table: {path}")
     out = None
     for root in roots:
-        reader = spark.read.format("fsentries").option("path", root)
+        reader = spark.read.format("fsentries").option("path", root).option("cores", spark.sparkContext.defaultParallelism)
         for k, v in options.items():
             reader = reader.option(k, json.dumps(v) if isinstance(v, list) else str(v).lower() if isinstance(v, bool) else str(v))
         one = reader.load()
