@@ -297,15 +297,25 @@ def test_secret_sql(spark):
     assert sorted(map(tuple, found.collect())) == sorted(con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.oracle_sql()['op5_secret_scan']})").fetchall())
 
 
-def test_tokens(docs, rows):
+def count(counter, text):
+    found, special = counter.pre_tokens(text)
+    return special + sum(n * p for n, p in zip(found.values(), counter.pieces(list(found)), strict=True))
+
+
+@pytest.mark.parametrize("head", [tokens.HEAD, 40, 0])
+def test_tokens(docs, rows, monkeypatch, head):
+    """Against the library, with all, some and no pre-tokens broadcast."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(tokens, "HEAD", head)
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     hard = ["<|endoftext|>a<|startoftext|><|endoftext|> B", "I'M it's ÉCOLE é ΣΣ ΟΔΟΣ x", "a\u0085b c　d \x1c\x1f e", "٣٤ ½ ² Ⅷ 日本語 漢字かな", "!!!'s ''t 'RE <|endof", "İstanbul ǅ ß ﬁ", "<|STARTOFTEXT|>"]
     counter = tokens.PieceCounter(open(path, encoding="utf-8").read())
-    assert counter.count(hard) == [len(library.encode(x, add_special_tokens=False).ids) for x in hard]
+    assert [count(counter, x) for x in hard] == [len(library.encode(x, add_special_tokens=False).ids) for x in hard]
+    one = docs.sparkSession.createDataFrame([(None, x) for x in [*hard, hard[0]]], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in tokens.count_tokens(one, path).collect()) == sorted(count(counter, x) for x in [*hard, hard[0]])
     found = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.count_tokens(docs, path).collect())
     want = Counter()
     for i, t, _, _ in rows:
@@ -319,11 +329,9 @@ def test_long_texts_are_split_without_a_change(monkeypatch):
 
     text = "don't stop the naïve 12 words!! " * 50
     vocabulary = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
-    want = tokens.PieceCounter(vocabulary).count([text])
+    want = count(tokens.PieceCounter(vocabulary), text)
     monkeypatch.setattr(tokens, "PIECE", 7)
-    monkeypatch.setattr(tokens, "KEPT", 3)
-    counter = tokens.PieceCounter(vocabulary)
-    assert [counter.count([text]) for _ in range(2)] == [want, want]
+    assert count(tokens.PieceCounter(vocabulary), text) == want
 
 
 def test_empty_tables(none):
