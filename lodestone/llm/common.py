@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Narrow rows are written in a file a core, or one for so many shuffle partitions if these are more.
+PARTITIONS_PER_FILE = 16
+
 #: A value in more rows than HOT_ROWS, and than one in HOT_VALUES of all rows, is hot: its rows are split. So at most HOT_VALUES values are hot.
 HOT_ROWS, HOT_VALUES = 1024, 65_536
 
@@ -49,6 +52,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_count(spark: SparkSession) -> int:
+    """Files for a table of narrow rows. Hadoop without its native library starts processes (chmod) for each local file that an executor makes, and for each task's folder."""
+    return max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_PER_FILE)
+
+
+def materialize_merged(df: DataFrame) -> DataFrame:
+    """materialize() in file_count() files at most: for narrow rows. Partitions are merged without a shuffle and still computed one by one."""
+    return materialize(df.coalesce(file_count(df.sparkSession)))
+
+
+def materialize_dealt(df: DataFrame) -> DataFrame:
+    """materialize() in file_count() files: for narrow rows of many and long tasks, which stay as they are. Rows are dealt out evenly by a shuffle."""
+    return materialize(df.repartition(file_count(df.sparkSession)))
+
+
 def release(paths: set[str] | None = None) -> None:
     """Delete scratch files: those of these paths, or all."""
     for path in list(_written) if paths is None else paths:

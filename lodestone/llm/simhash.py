@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import column, join_split, materialize
+from .common import column, join_split, materialize_dealt, materialize_merged
 from .components import connected_components
 
 #: Words in a shingle, hash seed, and differing bits up to which fingerprints link.
@@ -182,12 +182,12 @@ def links(marks: DataFrame) -> DataFrame:
     """
     none = F.lit(0).cast("long")
     cells = marks.select("mark").mapInArrow(_cells, "cell long, mark long")
-    found = materialize(_compared(cells.withColumns({"block": none, "piece": none}), BLOCK))
+    found = materialize_dealt(_compared(cells.withColumns({"block": none, "piece": none}), BLOCK))
     out = found.filter("cell is null").select("a", "b")
     hot = found.filter("cell is not null").select("cell").distinct()
     if hot.head(1):
         sub = _of_hot(cells, hot, ["cell"]).select("cell", "mark").mapInArrow(_subcells, "cell long, block long, mark long").distinct()
-        again = materialize(_compared(sub.withColumn("piece", none), BLOCK))
+        again = materialize_dealt(_compared(sub.withColumn("piece", none), BLOCK))
         out = out.unionByName(again.filter("cell is null").select("a", "b"))
         hot = again.filter("cell is not null").select("cell", "block").distinct()
         if hot.head(1):
@@ -210,14 +210,14 @@ def comparisons(marks: DataFrame) -> int:
 def components(marks: DataFrame) -> DataFrame:
     """(mark, label, component_id) of distinct fingerprints with their smallest doc_id (mark, least): the least fingerprint and smallest doc_id that each is connected to."""
     labels = connected_components(links(marks))
-    labelled = materialize(marks.join(labels, marks["mark"] == labels["node"], "left").select("mark", "least", F.coalesce("label", "mark").alias("label")))
+    labelled = materialize_merged(marks.join(labels, marks["mark"] == labels["node"], "left").select("mark", "least", F.coalesce("label", "mark").alias("label")))
     return join_split(labelled, labelled.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("mark", "label", "component_id")
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
-    rows = materialize(fingerprints(docs))
-    marks = materialize(rows.groupBy("mark").agg(F.min("doc_id").alias("least")))
-    return join_split(rows, materialize(components(marks)), "mark")
+    rows = materialize_dealt(fingerprints(docs))
+    marks = materialize_merged(rows.groupBy("mark").agg(F.min("doc_id").alias("least")))
+    return join_split(rows, materialize_merged(components(marks)), "mark")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

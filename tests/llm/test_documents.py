@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -205,6 +206,24 @@ def test_fingerprints_and_components(docs, rows, monkeypatch):
     assert sorted(label[m] for m in kept) == sorted(set(label.values()))
 
 
+def test_near_duplicates_write_few_files(spark, docs, monkeypatch):
+    """However many tasks there are, a step of narrow rows writes a file a core, and the rows are the same."""
+    want = Counter(simhash.near_duplicates(docs).collect())
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    monkeypatch.setattr(common, "_written", {"": spark})
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 30)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert Counter(simhash.near_duplicates(docs.repartition(40)).collect()) == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    del common._written[""]
+    files = [len(list(pathlib.Path(p).glob("part-*"))) for p in common._written]
+    common.release()
+    assert len(files) > 8 and max(files) <= spark.sparkContext.defaultParallelism
+
+
 def test_components_of_hubs(spark, monkeypatch):
     """Stars, chains and cycles, with hubs that are hot."""
     monkeypatch.setattr(common, "HOT_ROWS", 5)
